@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding
+from . import bpe, packing, pii, sharding
 from . import quality_rules as rules
 
 
@@ -42,10 +42,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe": op9_bpe,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
