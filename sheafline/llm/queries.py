@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, sharding
+from . import bpe, compression_classifier, packing, pii, sharding, toxicity
 from . import quality_rules as rules
 
 
@@ -34,6 +34,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = compression_classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    return compression_classifier.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -49,6 +61,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
