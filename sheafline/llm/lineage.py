@@ -3,13 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once to spark.checkpoint.dir; a folder of our own only where none is set (tests on one machine)."""
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The shared folder of the session; a folder of our own only where none is set (tests on one machine)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression_classifier, minhash, packing, pii, sharding, toxicity
+from . import bpe, compression_classifier, embed_dedup, licenses, minhash, packing, pii, sharding, toxicity
 from . import quality_rules as rules
 
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _tokenizer(name: str = TOKENIZER) -> str:
+def tokenizer(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -45,18 +45,26 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = compression_classifier.fit(docs, _table(spark, sf_dir, "labels"))
     return compression_classifier.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
