@@ -1,21 +1,29 @@
-"""Every registered query with its DuckDB counterpart."""
+"""Registration of queries with their DuckDB counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
 
-def corpus_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, characters and each source's share, with the total row (grouping sets)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.rollup("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("sum_chars"))
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query; sql gives the same rows in DuckDB (None: SQL cannot express it)."""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"a1_corpus_shares": corpus_shares}
-ORACLES: dict[str, str] = {
-    "a1_corpus_shares": "SELECT source, count(*) AS n_docs, sum(n_chars)::BIGINT AS sum_chars FROM documents GROUP BY ROLLUP (source)",
-}
-FLAGSHIP = "a1_corpus_shares"
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
