@@ -8,6 +8,7 @@ from math import lgamma
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Normal quantile of 95 % intervals (fixed value).
 Z95 = 1.96
@@ -51,7 +52,7 @@ def exact_interval(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
     return low, high
 
 
-@F.pandas_udf("struct<low: double, high: double>")
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
 def clopper_pearson(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([exact_interval(int(a), int(b)) for a, b in zip(k, n, strict=True)], columns=["low", "high"])
 
@@ -62,7 +63,7 @@ def two_sided_mcnemar(b: int, c: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2 * _tail(max(b, c), n, 0.5))
 
 
-mcnemar = F.pandas_udf(lambda b, c: pd.Series([two_sided_mcnemar(int(x), int(y)) for x, y in zip(b, c, strict=True)]), "double")
+mcnemar = F.pandas_udf(lambda b, c: pd.Series([two_sided_mcnemar(int(x), int(y)) for x, y in zip(b, c, strict=True)]), T.DoubleType())
 
 
 def kappa(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
