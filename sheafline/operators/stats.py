@@ -16,11 +16,11 @@ Z95 = 1.96
 
 def wilson(hits: Column, n: Column, z: float = Z95) -> Column:
     """struct(low, high), clamped to [0, 1]; (0, 0) for n = 0."""
-    m = F.when(n > 0, n)
+    m = F.when(n > 0, n)  # null for n = 0, where greatest and least would skip it
     p = hits / m
     centre = (p + z * z / (2 * m)) / (1 + z * z / m)
     half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)
-    return F.struct(F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)).alias("low"), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(0.0)).alias("high"))
+    return F.struct(F.when(n > 0, F.greatest(F.lit(0.0), centre - half)).otherwise(0.0).alias("low"), F.when(n > 0, F.least(F.lit(1.0), centre + half)).otherwise(0.0).alias("high"))
 
 
 def _tail(k: int, n: int, p: float) -> float:
