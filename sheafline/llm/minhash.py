@@ -8,10 +8,15 @@ Jaccard similarity with concentration bounds.  `bands` keys of `rows`
 coordinates each are the buckets in which candidates meet.
 
 Equal shingle sets are one class.  Within a bucket, classes are compared with
-one pivot at a time, never all with all: a first round takes the least class of
-a bucket, a second a random one, and a last round compares exactly those pairs
-of a bucket that are still in different components and whose set sizes allow a
-link.  Every comparison counts shingles of the full texts.  So each pair that
+pivots, not all with all: first with the least class of the bucket, then with
+one and four random ones.  A class already in the pivot's component needs
+no comparison, a pivot is done with its bucket, and a bucket of one component
+is done as a whole; so the groups of near copies that make buckets large leave
+after a few turns.  The last turn takes all classes that are left as pivots.
+The join that makes pairs bounds their similarity from above by set sizes and
+1024 parity bits of either set, which loses no link, so families of documents
+just below the threshold don't become pairs.
+Every comparison counts shingles of the full texts.  So each pair that
 shares a bucket is either compared or known to be connected, and components
 lose nothing; a pair at the threshold shares a bucket with probability
 1 - (1 - 0.8^rows)^bands, 0.99994 with the defaults.
@@ -33,12 +38,18 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .lineage import cut
+from .lineage import cut, new_folder, remove
 
 BANDS, ROWS = 32, 6
 SHINGLE = 5
 #: A link needs 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 80
+#: Pivots of each bucket in each turn, on average; the first turn takes the least class, None takes all that are left.
+PIVOTS = (1, 1, 4, None)
+#: Parity bits of a set.
+BITS = 1024
+#: Bit tables of 32768 bits that preselect the texts of candidates.
+BITMAPS = 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -93,8 +104,30 @@ def band_keys(sk: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def parities(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BITS parity bits of each set, as rows of 64-bit words: bit i tells whether an odd number of shingles falls on i.
+
+    Two sets differ in at least as many shingles as their rows differ in bits.
+    """
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    bit = (tx.mix64(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64)
+    key, count = np.unique(doc * BITS + bit, return_counts=True)
+    key = key[count % 2 == 1]
+    out = np.zeros(n * BITS // 64, np.uint64)
+    np.bitwise_or.at(out, key // 64, np.uint64(1) << (key % 64).astype(np.uint64))
+    return out.reshape(n, BITS // 64)
+
+
+def _lists(rows: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """Rows as list values, null where not kept."""
+    n, k = rows.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(rows).reshape(-1).view(np.int64)))
+    return lists.take(pa.array(np.arange(n), mask=~keep))
+
+
 def sketches(docs: DataFrame, size: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (f, g) and its band keys (null: empty set)."""
+    """doc_id, n_shingles, a 128-bit fingerprint of the set (f, g), its band keys and parity bits (null: empty set)."""
 
     def run(col: pa.Array) -> dict:
         s, first = shingles(col, size)
@@ -102,28 +135,25 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int, doc_id: str, tex
         keys = band_keys(sketch(s, first, bands * rows), bands, rows)
         f = tx.run_sums(s.view(np.int64), first)
         g = tx.run_sums(tx.mix64(s ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64), first)
-        offsets = np.arange(len(n) + 1, dtype=np.int32) * bands
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))
-        return {"n_shingles": n.astype(np.int64), "f": f, "g": g, "bands": lists.filter(pa.array(np.ones(len(n), bool))) if n.all() else pa.array([v if k else None for v, k in zip(lists.to_pylist(), n, strict=True)], lists.type)}
+        return {"n_shingles": n.astype(np.int64), "f": f, "g": g, "bands": _lists(keys, n > 0), "bits": _lists(parities(s, first), n > 0)}
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return tx.map_texts(ids, "text", ["doc_id"], "n_shingles long, f long, g long, bands array<long>", run)
+    return tx.map_texts(ids, "text", ["doc_id"], "n_shingles long, f long, g long, bands array<long>, bits array<long>", run)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets are similar enough, with both counts."""
-    texts = docs.select(F.col(doc_id).alias("_id_"), F.col(text).cast("string").alias("_t_"))
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those pairs (a, b, ca, cb) whose full shingle sets are similar enough; texts: _id_, _t_."""
     kind = pairs.schema["a"].dataType.simpleString()
-    one = pairs.join(texts, F.col("a") == F.col("_id_")).select("a", "b", F.col("_t_").alias("s"))
-    both = one.join(texts, F.col("b") == F.col("_id_")).select("a", "b", "s", F.col("_t_").alias("t"))
+    one = pairs.join(texts, F.col("a") == F.col("_id_")).select("a", "b", "ca", "cb", F.col("_t_").alias("s"))
+    both = one.join(texts, F.col("b") == F.col("_id_")).select("a", "b", "ca", "cb", "s", F.col("_t_").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, off = tx.utf8(batch.column(2))
+            _, off = tx.utf8(batch.column(4))
             for x, y in tx.slices(off):
                 part = batch.slice(x, y - x)
-                s, sf = shingles(part.column(2), size)
-                t, tf = shingles(part.column(3), size)
+                s, sf = shingles(part.column(4), size)
+                t, tf = shingles(part.column(5), size)
                 n, m = np.diff(sf), np.diff(tf)
                 owner = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)])
                 h = np.concatenate([s, t])
@@ -132,47 +162,80 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, doc_id:
                 shared = np.bincount(owner[order][1:][same], minlength=len(n))
                 union = n + m - shared
                 ok = pa.array((100 * shared >= percent * union) & (union > 0))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared), pa.array(union)], names=["a", "b", "n_shared", "n_union"]).filter(ok)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(4)], names=["a", "b", "ca", "cb"]).filter(ok)
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}, ca {kind}, cb {kind}")
+
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}, n_shared long, n_union long")
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose _id_ is among ids, and a few others.
+
+    The ids become a bit table of a fixed size (at most BITMAPS rows of 4 KB),
+    so that other texts never leave their scan.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * 32768))
+    slot = ids.select(place(F.col("cid")).alias("h"))
+    table = slot.select(F.floor(F.col("h") / 32768).alias("_slot_"), F.bitmap_bit_position(F.col("h") % 32768 + 1).alias("p")).groupBy("_slot_").agg(F.bitmap_construct_agg("p").alias("_bits_"))
+    h = place(F.col("_id_"))
+    found = docs.withColumn("_h_", h).join(F.broadcast(table), F.floor(F.col("_h_") / 32768) == F.col("_slot_"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits_"), F.expr("cast(_h_ % 32768 div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.expr("1") == F.getbit(byte, (F.col("_h_") % 8).cast("int"))).drop("_h_", "_slot_", "_bits_")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; see the module's text."""
+    spark = docs.sparkSession
     sk = cut(sketches(docs, size, bands, rows, doc_id, text))
     full = sk.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = full.groupBy("f", "g").agg(F.min("doc_id").alias("cid"))
     # Rows of a class's least id carry its bands into the buckets; a bucket of one class is of no use.
     reps = full.join(classes.withColumnRenamed("cid", "doc_id"), ["f", "g", "doc_id"], "left_semi").dropDuplicates(["doc_id", "f", "g"])
     dealt = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n")).repartition("bucket")
-    many = dealt.groupBy("bucket").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most").select("bucket", "least")
-    met = cut(dealt.join(many, "bucket"))
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-
-    # Round 1: everything in a bucket against its least class.
-    first = met.filter("cid != least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
-    links = cut(verified(first, docs, size, percent, doc_id, text).select("a", "b"))
-    labels = components(links)
-
-    def unsettled(labels: DataFrame) -> DataFrame:
-        """Rows of buckets that still hold several components."""
-        now = met.select("bucket", "cid", "n").join(labels, F.col("cid") == F.col("id"), "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("c"))
-        open_ = now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("cid", "n", "c"), F.xxhash64("cid", F.lit("pivot"))).alias("p")).filter("c0 < c1").select("bucket", "p")
-        return now.join(open_, "bucket")
-
-    # Round 2: the other components of a bucket against a random class of it.
-    rest = unsettled(labels).filter("c != p.c").select(F.col("cid").alias("x"), F.col("n"), F.col("p.cid").alias("y"), F.col("p.n").alias("m")).filter(near)
-    second = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(cut(verified(second, docs, size, percent, doc_id, text).select("a", "b")))
-    labels = components(links)
-
-    # Last: all pairs of a bucket that are still apart and were not compared.
-    left = cut(unsettled(labels).select("bucket", "cid", "n", "c"))
-    other = left.select(F.col("bucket").alias("bucket2"), F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("c").alias("c2"))
-    apart = left.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("cid") > F.col("cid2")) & (F.col("c") != F.col("c2")) & near)
-    third = apart.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct().join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    links = links.unionByName(cut(verified(third, docs, size, percent, doc_id, text).select("a", "b")))
-    labels = components(links)
+    many = dealt.groupBy("bucket").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 < c1").select("bucket")
+    met = cut(dealt.join(many, "bucket").withColumn("c", F.col("cid")))
+    texts = docs.select(F.col(doc_id).alias("_id_"), F.col(text).cast("string").alias("_t_"))
+    _among(texts, met.select("cid").distinct()).write.parquet(path := new_folder(spark))
+    texts = spark.read.parquet(path)
+
+    bits = full.join(classes.withColumnRenamed("cid", "doc_id"), ["f", "g", "doc_id"], "left_semi").select(F.col("doc_id").alias("cid"), "bits").dropDuplicates(["cid"])
+    # At most (n + m - h) / 2 shingles are shared if h parity bits differ: pairs that can't reach the threshold are never made.
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other")[i])) for i in range(BITS // 64)), F.lit(0))
+    both = F.col("n") + F.col("m")
+    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent) & (100 * (both - differ) >= percent * (both + differ))
+    labels: DataFrame | None = None
+    for turn, k in enumerate(PIVOTS):
+        if met.isEmpty():
+            break
+        if turn == 0:
+            met = cut(met.join(bits, "cid"))
+        if turn == 0:
+            some = met.groupBy("bucket").agg(F.min("cid").alias("_p_"))
+            chosen = met.join(some, "bucket").withColumn("pivot", F.col("cid") == F.col("_p_")).drop("_p_")
+        elif k:
+            some = met.groupBy("bucket").agg(F.count("*").alias("_m_"))
+            chance = F.pmod(F.xxhash64("cid", "bucket", F.lit(turn)), F.lit(1 << 30)) * F.col("_m_") < F.lit(k << 30)
+            chosen = met.join(some, "bucket").withColumn("pivot", chance).drop("_m_")
+        else:
+            chosen = met.withColumn("pivot", F.lit(True))
+        p = chosen.filter("pivot").select(F.col("bucket").alias("_b_"), F.col("cid").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("other"))
+        # Two pivots meet twice; the smaller id asks then.
+        asks = (F.col("bucket") == F.col("_b_")) & (F.col("c") != F.col("d")) & near & (~F.col("pivot") | (F.col("cid") > F.col("y")))
+        pairs = chosen.join(p, asks).select(F.greatest("cid", "y").alias("a"), F.least("cid", "y").alias("b"), F.greatest("c", "d").alias("ca"), F.least("c", "d").alias("cb"))
+        links = cut(verified(pairs.dropDuplicates(["a", "b"]), texts, size, percent))
+        moves = cut(components(links, "ca", "cb"))
+        step = moves.withColumnsRenamed({"id": "_i_", "component": "_c_"})
+        if labels is None:
+            labels = moves
+        else:
+            old = labels.join(step, F.col("component") == F.col("_i_"), "left").select("id", F.coalesce("_c_", "component").alias("component"))
+            labels = cut(old.unionByName(moves))
+        # A pivot is settled with its whole bucket; so is a bucket of one component.
+        now = chosen.filter("not pivot").join(step, F.col("c") == F.col("_i_"), "left").select("bucket", "cid", "n", "bits", F.coalesce("_c_", "c").alias("c"))
+        apart = now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("bucket")
+        met = cut(now.join(apart, "bucket"))
+    remove(spark, path)
+    if labels is None:
+        labels = classes.select(F.col("cid").alias("id"), F.col("cid").alias("component")).limit(0)
 
     out = sk.join(classes, ["f", "g"], "left").join(labels, F.col("cid") == F.col("id"), "left")
     alone = F.col("n_shingles") == 0
