@@ -185,13 +185,27 @@ def pseudonyms(found: Column, key: str) -> Column:
     return F.transform(both, lambda z: F.struct(z["x"]["m"].alias("m"), z["x"]["kind"].alias("kind"), _render(z["x"], z["p"], key).alias("pseudonym")))
 
 
+def _made(text: Column, key: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    none = F.array().cast("array<struct<m:string,kind:string,pseudonym:string>>")
+    return F.when(F.size(found) > 0, pseudonyms(found, key)).otherwise(none)
+
+
+def _rebuilt(text: Column, made: Column) -> Column:
+    gaps = F.split(text, PATTERN, -1)
+    whole = F.array_join(F.zip_with(gaps, made, lambda g, x: F.concat(g, F.coalesce(x["pseudonym"], F.lit("")))), "")
+    return F.when(F.size(made) > 0, whole).otherwise(text)
+
+
+def replace_in(docs: DataFrame, key: str = "test key", text: str = "text") -> DataFrame:
+    """docs with pseudonyms in its text column; all columns stay in place."""
+    rows = docs.withColumn("_pii_made_", _made(F.col(text), key))
+    return rows.withColumn(text, _rebuilt(F.col(text), F.col("_pii_made_"))).select(*docs.columns)
+
+
 def pseudonymise(docs: DataFrame, key: str = "test key", text: str = "text", keep: tuple[str, ...] = ("doc_id",), values: bool = False) -> DataFrame:
     """keep columns, the text with pseudonyms, n_values, and n_<kind> for each kind; with the values themselves on request."""
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text_"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias("_found_"))
-    none = F.array().cast("array<struct<m:string,kind:string,pseudonym:string>>")
-    rows = rows.withColumn("_made_", F.when(F.size("_found_") > 0, pseudonyms(F.col("_found_"), key)).otherwise(none))
-    gaps = F.split(F.col("_text_"), PATTERN, -1)
-    whole = F.array_join(F.zip_with(gaps, F.col("_made_"), lambda g, x: F.concat(g, F.coalesce(x["pseudonym"], F.lit("")))), "")
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text_"), _made(F.col(text), key).alias("_made_"))
     count = lambda k: F.size(F.filter(F.col("_made_"), lambda x: x["kind"] == k)).cast("long")
-    out = [F.when(F.size("_made_") > 0, whole).otherwise(F.col("_text_")).alias("text"), F.size(F.filter(F.col("_made_"), lambda x: x["kind"].isNotNull())).cast("long").alias("n_values")]
+    out = [_rebuilt(F.col("_text_"), F.col("_made_")).alias("text"), F.size(F.filter(F.col("_made_"), lambda x: x["kind"].isNotNull())).cast("long").alias("n_values")]
     return rows.select(*keep, *out, *[count(k).alias(f"n_{k}") for k in KINDS], *([F.col("_made_").alias("values")] if values else []))

@@ -31,9 +31,9 @@ WINDOW = 8
 #: Limits by length: from so many bytes on, the compressed share of the whole text must lie in [low, high].
 LENGTH_BANDS = (256, 1024, 4096, 16384)
 WHOLE_LOW = (0.32, 0.30, 0.28, 0.25)
-WHOLE_HIGH = (0.95, 0.85, 0.75, 0.70)
+WHOLE_HIGH = (0.95, 0.80, 0.70, 0.66)
 #: The same for each full chunk of CHUNK bytes; a document goes if more than CHUNK_SHARE of its chunks lie outside.
-CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 0.26, 0.80, 0.34
+CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 0.26, 0.74, 0.34
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
