@@ -22,12 +22,12 @@ def containment(items: DataFrame, item: str, docs: DataFrame, doc: str, text: st
     keyed = words.withColumn("key", F.when(F.size("w") > 2, F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]))
     long = keyed.filter("key is not null").select("item_id", "gold", "key")
     offered = docs.select(F.col(doc).alias("doc_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("key"))
-    # Only words that some item asks for leave the scan; then texts are fetched for candidates only.
-    cand = offered.join(F.broadcast(long.select("key").distinct()), "key", "left_semi").join(long, "key")
+    # Only (doc_id, word) pairs meet the items, and the engine sizes that join; then texts are fetched for candidates only.
+    cand = offered.join(long, "key")
     body = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("_body_"))
     found = cand.join(body, "doc_id").filter(F.contains("_body_", "gold")).select("item_id", "doc_id")
     short = keyed.filter("key is null").select("item_id", "gold")
-    direct = body.join(F.broadcast(short), F.contains("_body_", "gold")).select("item_id", "doc_id")
+    direct = body.join(short, F.contains("_body_", "gold")).select("item_id", "doc_id")
     return found.unionByName(direct).distinct()
 
 
@@ -68,5 +68,5 @@ def title_hits(items: DataFrame, heads: DataFrame, num: int, den: int) -> DataFr
     """The first document whose heading shares num/den of the smaller word set, per item. Items (item_id, w) meet headings (doc_id, x) by shared words."""
     want = items.select("item_id", F.size("w").alias("nw"), F.explode("w").alias("t"))
     have = heads.select("doc_id", F.size("x").alias("nx"), F.explode("x").alias("t"))
-    shared = have.join(F.broadcast(want), "t").groupBy("item_id", "doc_id", "nw", "nx").agg(F.count("*").alias("i"))
+    shared = have.join(want, "t").groupBy("item_id", "doc_id", "nw", "nx").agg(F.count("*").alias("i"))
     return shared.filter(F.col("i") * den >= F.least("nw", "nx") * num).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))

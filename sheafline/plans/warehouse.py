@@ -236,13 +236,13 @@ def star_join_revenue(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("theta_join", "SELECT n_nationkey, count(*) AS n FROM nation JOIN region ON n_regionkey > r_regionkey GROUP BY 1")
 def theta_join(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") > F.col("r_regionkey")).groupBy("n_nationkey").agg(F.count("*").alias("n"))
+    return table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") > F.col("r_regionkey")).groupBy("n_nationkey").agg(F.count("*").alias("n"))
 
 
 @query("policy_lookup", "SELECT s_suppkey, coalesce(n_name, 'none') AS policy FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3")
 def policy_lookup(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").filter("n_regionkey < 3").select("n_nationkey", "n_name")
-    return table(spark, sf, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("none")).alias("policy"))
+    return table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("none")).alias("policy"))
 
 
 @query("ceiling_bound", "SELECT l_suppkey, greatest(0, count(*) - 2 * count(*) FILTER (l_discount = l_tax)) AS bound, round(greatest(0, count(*) - 2 * count(*) FILTER (l_discount = l_tax)) / count(*), 6) AS rate FROM lineitem GROUP BY 1")
