@@ -35,6 +35,8 @@ from . import text as tx
 
 #: Distinct pieces whose ids a worker keeps at most; beyond it the table starts anew (results stay the same).
 KEPT_PIECES = 1 << 20
+#: Bytes of text encoded at once: more of them share the steps of one run through the ranks.
+SLICE = 2 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 
 
@@ -216,8 +218,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.known = np.zeros((0, 2), np.uint64)
-        self.ids_at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int64)
+        self.begins, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.int32)
 
     def pieces(self, raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens, and the first id of each text."""
@@ -238,11 +240,11 @@ class Encoder:
         if not have.all():
             self._learn(buf, starts[at[~have]], lens[at[~have]], uniq[~have], b[at[~have]])
             pos = np.searchsorted(self.known[:, 0], uniq)
-        count = self.counts[pos][inv]
+        count = self.counts[pos][inv].astype(np.int64)
         begin = self.begins[pos][inv]
         done = np.cumsum(count)
         step = np.arange(int(done[-1])) - np.repeat(done - count, count)
-        ids = self.ids[np.repeat(begin, count) + step]
+        ids = self.ids[np.repeat(begin, count) + step].astype(np.int64)
         return ids, np.concatenate([[0], done])[first]
 
     def _learn(self, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -251,13 +253,10 @@ class Encoder:
         ids, piece = merge_all(self.v, symbols, np.repeat(np.arange(len(starts)), lens))
         counts = np.bincount(piece, minlength=len(starts))
         begins = np.cumsum(counts) - counts + len(self.ids)
-        old = len(self.known)
-        known = np.concatenate([self.known, np.stack([a, b], 1)])
-        order = np.argsort(known[:, 0], kind="stable")
-        self.begins = np.concatenate([self.begins if old else np.zeros(0, np.int64), begins])[order]
-        self.counts = np.concatenate([self.counts if old else np.zeros(0, np.int64), counts])[order]
-        self.known = known[order]
-        self.ids = np.concatenate([self.ids, ids])
+        at = np.searchsorted(self.known[:, 0], a)  # a is sorted, as are the known hashes
+        self.known = np.insert(self.known, at, np.stack([a, b], 1), axis=0)
+        self.begins, self.counts = np.insert(self.begins, at, begins), np.insert(self.counts, at, counts.astype(np.int32))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of an Arrow column, and where each text's ids begin (len + 1)."""
@@ -329,7 +328,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
             out["ids"] = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
         return out
 
-    return tx.map_texts(docs, text, list(keep), "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""), run)
+    return tx.map_texts(docs, text, list(keep), "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""), run, SLICE)
 
 
 def _valid(b: bytes) -> bytes:

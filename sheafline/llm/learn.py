@@ -37,7 +37,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     got = got.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").toArrow()
     y = np.asarray(got["_y_"].to_pylist(), np.int64)
     per = {c: totals.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
-    return [t.encode() for t in got["_t_"].to_pylist()], y, np.array([per[int(c)] for c in y])
+    texts = [t.as_buffer().to_pybytes() for t in got["_t_"].combine_chunks()] if got.num_rows else []
+    del got
+    return texts, y, np.array([per[int(c)] for c in y])
 
 
 class Isotonic:

@@ -9,7 +9,7 @@ coordinates each are the buckets in which candidates meet.
 
 Equal shingle sets are one class.  Within a bucket, classes are compared with
 pivots, not all with all: first with the least class of the bucket, then with
-one and four random ones.  A class already in the pivot's component needs
+four random ones.  A class already in the pivot's component needs
 no comparison, a pivot is done with its bucket, and a bucket of one component
 is done as a whole; so the groups of near copies that make buckets large leave
 after a few turns.  The last turn takes all classes that are left as pivots.
@@ -45,7 +45,7 @@ SHINGLE = 5
 #: A link needs 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 80
 #: Pivots of each bucket in each turn, on average; the first turn takes the least class, None takes all that are left.
-PIVOTS = (1, 1, 4, None)
+PIVOTS = (1, 4, None)
 #: Parity bits of a set.
 BITS = 1024
 #: Bit tables of 32768 bits that preselect the texts of candidates.

@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, off = tx.utf8(batch.column(1))
-            for a, b in tx.slices(off):
+            for a, b in tx.slices(off, bpe.SLICE):
                 ids, first = bpe.encoder(name, "").encode(batch.column(1).slice(a, b - a))
                 flat = memoryview(np.insert(ids, first[1:], end).astype("<u4").tobytes())
                 first = first + np.arange(len(first))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -126,7 +126,7 @@ def run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return c[first[1:]] - c[first[:-1]]
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, fn: Callable[[list[str] | None, pa.Array], dict]) -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, fn: Callable[[pa.Array], dict], limit: int = SLICE_BYTES) -> DataFrame:
     """Columns `keep` and those that fn makes of slices of the text column; fields: their DDL."""
     keep_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
 
@@ -134,7 +134,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, fn: Callab
         for batch in batches:
             col = batch.column(batch.num_columns - 1)
             _, off = utf8(col)
-            for a, b in slices(off):
+            for a, b in slices(off, limit):
                 made = fn(col.slice(a, b - a))
                 arrays = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(v) if not isinstance(v, pa.Array) else v for v in made.values()], names=keep + list(made))

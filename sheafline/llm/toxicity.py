@@ -28,6 +28,7 @@ from . import text as tx
 FOLDS, FOLD = 3, 1
 CUT = 0.7
 NEAR = 5
+N_FEATURES = 12
 #: Lexicon entries: so many toxic rows and such a share of them hold an entry at least, and its share is so many times that among others.
 MIN_ROWS, MIN_SHARE, MIN_LIFT, BEGINNINGS = 5, 0.02, 12.0, (4, 5, 6)
 #: Second-person words of the four languages (fixed values).
@@ -81,18 +82,27 @@ class Lexicon:
     """Sorted hashes of toxic words and beginnings."""
 
     def __init__(self, col: pa.Array, y: np.ndarray) -> None:
-        raw, off = tx.utf8(col)
-        w, h, starts, first = _tables(raw, off)
         n1, n0 = max(1, int(y.sum())), max(1, int((y == 0).sum()))
-        doc = w.doc_of()
-        self.words = self._pick(h, doc, y, n1, n0)
-        self.starts = [self._pick(s, doc, y, n1, n0) for s in starts]
+        kinds = 1 + len(BEGINNINGS)
+        seen: list[list[np.ndarray]] = [[] for _ in range(kinds)]  # distinct tokens of each text, in text order
+        mark: list[list[np.ndarray]] = [[] for _ in range(kinds)]  # and the label of their text
+        _, off = tx.utf8(col)
+        for a, b in tx.slices(off):
+            w, h, starts, _ = _tables(*tx.utf8(col.slice(a, b - a)))
+            doc = w.doc_of()
+            for k, s in enumerate([h, *starts]):
+                order = np.lexsort((s, doc))
+                s, d = s[order], doc[order]
+                new = np.ones(len(s), bool)
+                new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+                seen[k].append(s[new])
+                mark[k].append(y[a:b][d[new]])
+        picked = [self._pick(np.concatenate(s or [np.zeros(0, np.uint64)]), np.concatenate(m or [np.zeros(0, int)]), n1, n0) for s, m in zip(seen, mark, strict=True)]
+        self.words, self.starts = picked[0], picked[1:]
 
     @staticmethod
-    def _pick(h: np.ndarray, doc: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
-        pairs = np.unique(np.stack([h, doc.astype(np.uint64)], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        token, at = np.unique(pairs[:, 0], return_inverse=True)
-        toxic = y[pairs[:, 1].astype(np.int64)]
+    def _pick(tokens: np.ndarray, toxic: np.ndarray, n1: int, n0: int) -> np.ndarray:
+        token, at = np.unique(tokens, return_inverse=True)
         one, both = np.bincount(at, toxic, len(token)), np.bincount(at, minlength=len(token))
         lift = (one / n1) / ((both - one + 0.5) / n0)
         return token[(one >= max(MIN_ROWS, MIN_SHARE * n1)) & (lift >= MIN_LIFT) & (token != 0)]
@@ -100,6 +110,11 @@ class Lexicon:
 
 def features(col: pa.Array, lex: Lexicon) -> np.ndarray:
     """Dense features, one row per text."""
+    _, off = tx.utf8(col)
+    return np.concatenate([_features(col.slice(a, b - a), lex) for a, b in tx.slices(off)] or [np.zeros((0, N_FEATURES))])
+
+
+def _features(col: pa.Array, lex: Lexicon) -> np.ndarray:
     raw, off = tx.utf8(col)
     w, h, starts, first = _tables(raw, off)
     n = np.maximum(np.diff(first), 1)
