@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agreement, corpus, geometry, layouts, matching, retrieval, sampling, streams, warehouse  # noqa: F401  (they register themselves)
+from . import agreement, corpus, geometry, layouts, matching, records, retrieval, sampling, streams, warehouse  # noqa: F401  (they register themselves)
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "tally_grouping_sets"
