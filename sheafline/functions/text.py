@@ -101,3 +101,39 @@ def last_score(c: Column) -> Column:
 def strip_fence(c: Column) -> Column:
     """A JSON text without its code fence."""
     return F.trim(F.regexp_replace(c, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
+
+
+def unit_line(c: Column) -> Column:
+    """Is a line one bracketed unit?"""
+    return c.rlike(r"^\[[^\[\]]+\]$")
+
+
+def item_key(c: Column) -> Column:
+    """'#/tables/2' becomes 'tbl-2', other items keep their kind's first three letters."""
+    kind, n = F.split_part(c, F.lit("/"), F.lit(2)), F.split_part(c, F.lit("/"), F.lit(3))
+    return F.concat_ws("-", F.when(kind == "tables", "tbl").otherwise(F.substring(kind, 1, 3)), n)
+
+
+def without_backspace(c: Column) -> Column:
+    return F.replace(c, F.lit("\b"))
+
+
+def broken_number(c: Column) -> Column:
+    """Does a replacement character stand inside a number?"""
+    return c.rlike(f"[{DASHES}0-9-]�[0-9]")
+
+
+def rejoined(c: Column) -> Column:
+    """'3 .349' becomes '3.349'."""
+    return F.regexp_replace(c, r"(?<=[0-9]) (?=\.[0-9])", "")
+
+
+def footer_line(c: Column) -> Column:
+    """Does a line begin a table's foot: a source, a note, or a footnote mark?"""
+    return c.rlike(r"^(?i:sources?|notes?)\b[:.]?|^[0-9]{1,2}[/)] ?[A-Z]|^\*")
+
+
+def period(c: Column) -> Column:
+    """struct(grain, year, sub) of a key A:YYYY, M:YYYY-MM or Q:YYYY-q; nulls for anything else."""
+    ok = c.rlike(r"^(A:[0-9]{4}|M:[0-9]{4}-(0[1-9]|1[0-2])|Q:[0-9]{4}-[1-4])$")
+    return F.struct(F.when(ok, F.substring(c, 1, 1)).alias("grain"), F.when(ok, F.substring(c, 3, 4).try_cast("int")).alias("year"), F.when(ok, F.substring(c, 8, 2).try_cast("int")).alias("sub"))
