@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..streaming import jobs
 from .registry import query, table
 
@@ -24,11 +23,23 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return _log(spark.readStream.schema(batch.schema).parquet(f"{sf}/events.parquet*"))
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Runs a stream to its end into a memory table; for updates, the last row of each key."""
-    name = f"out_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def _run(spark: SparkSession, stream: DataFrame, mode: str, key: str = "job") -> DataFrame:
+    """Runs a stream to its end; every batch is a table in the shared folder. complete: the last one; update: each key's last row; append: all."""
+    at = files.shared_folder(spark)
+    cols = stream.columns
+    schema = stream.withColumn("batch", F.lit(0).cast("long")).schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{at}/rows/{number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/rows")
+    if mode == "append":
+        return rows.select(*cols)
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("last"))
+        return rows.join(last, F.col("batch") == F.col("last")).select(*cols)
+    return rows.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in cols if c != key]).select(*cols)
 
 
 LOG_SQL = "(SELECT 'u' || user_id AS job, event_id AS off, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'intended' WHEN 'signup' THEN 'submitted' WHEN 'purchase' THEN 'completed' ELSE 'errored' END AS state, (event_id % 5)::INT AS attempt FROM events)"
