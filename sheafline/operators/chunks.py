@@ -17,8 +17,9 @@ def chunk_type(line: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text; none for blank or null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    """Words of a text; none for blank or null. Trimmed first, so that the split needs no filter."""
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[ \t\n\x0B\f\r]+"))
 
 
 def chunk_records(docs: DataFrame, page_lines: int = 10) -> DataFrame:
