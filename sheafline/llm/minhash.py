@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     met = cut(dealt.join(many, "bucket").withColumn("c", F.col("cid")))
     texts = docs.select(F.col(doc_id).alias("_id_"), F.col(text).cast("string").alias("_t_"))
     _among(texts, met.select("cid").distinct()).write.parquet(path := new_folder(spark))
-    texts = spark.read.parquet(path)
+    texts = spark.read.schema(texts.schema).parquet(path)
 
     bits = full.join(classes.withColumnRenamed("cid", "doc_id"), ["f", "g", "doc_id"], "left_semi").select(F.col("doc_id").alias("cid"), "bits").dropDuplicates(["cid"])
     # At most (n + m - h) / 2 shingles are shared if h parity bits differ: pairs that can't reach the threshold are never made.
