@@ -187,11 +187,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     spark = docs.sparkSession
     sk = cut(sketches(docs, size, bands, rows, doc_id, text))
     full = sk.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = full.groupBy("f", "g").agg(F.min("doc_id").alias("cid"))
+    # Aggregates are cut before they are joined back: a join of two plain shuffles can split a hot class or bucket.
+    classes = cut(full.groupBy("f", "g").agg(F.min("doc_id").alias("cid")))
     # Rows of a class's least id carry its bands into the buckets; a bucket of one class is of no use.
     reps = full.join(classes.withColumnRenamed("cid", "doc_id"), ["f", "g", "doc_id"], "left_semi").dropDuplicates(["doc_id", "f", "g"])
-    dealt = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n")).repartition("bucket")
-    many = dealt.groupBy("bucket").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 < c1").select("bucket")
+    dealt = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"))
+    many = cut(dealt.groupBy("bucket").agg(F.min("cid").alias("least"), F.max("cid").alias("c1")).filter("least < c1").select("bucket", "least"))
     met = cut(dealt.join(many, "bucket").withColumn("c", F.col("cid")))
     texts = docs.select(F.col(doc_id).alias("_id_"), F.col(text).cast("string").alias("_t_"))
     _among(texts, met.select("cid").distinct()).write.parquet(path := new_folder(spark))
@@ -206,21 +207,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     for turn, k in enumerate(PIVOTS):
         if met.isEmpty():
             break
-        if turn == 0:
-            met = cut(met.join(bits, "cid"))
-        if turn == 0:
-            some = met.groupBy("bucket").agg(F.min("cid").alias("_p_"))
-            chosen = met.join(some, "bucket").withColumn("pivot", F.col("cid") == F.col("_p_")).drop("_p_")
-        elif k:
-            some = met.groupBy("bucket").agg(F.count("*").alias("_m_"))
-            chance = F.pmod(F.xxhash64("cid", "bucket", F.lit(turn)), F.lit(1 << 30)) * F.col("_m_") < F.lit(k << 30)
-            chosen = met.join(some, "bucket").withColumn("pivot", chance).drop("_m_")
+        if turn == 0:  # every class with the least of its bucket, which the bucket's row has brought along
+            pairs = met.filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"), F.col("cid").alias("ca"), F.col("least").alias("cb"))
+            chosen = met.join(bits, "cid").withColumn("pivot", F.col("cid") == F.col("least")).drop("least")
         else:
-            chosen = met.withColumn("pivot", F.lit(True))
-        p = chosen.filter("pivot").select(F.col("bucket").alias("_b_"), F.col("cid").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("other"))
-        # Two pivots meet twice; the smaller id asks then.
-        asks = (F.col("bucket") == F.col("_b_")) & (F.col("c") != F.col("d")) & near & (~F.col("pivot") | (F.col("cid") > F.col("y")))
-        pairs = chosen.join(p, asks).select(F.greatest("cid", "y").alias("a"), F.least("cid", "y").alias("b"), F.greatest("c", "d").alias("ca"), F.least("c", "d").alias("cb"))
+            if k:
+                some = met.groupBy("bucket").agg(F.count("*").alias("_m_"))
+                chance = F.pmod(F.xxhash64("cid", "bucket", F.lit(turn)), F.lit(1 << 30)) * F.col("_m_") < F.lit(k << 30)
+                chosen = met.join(some, "bucket").withColumn("pivot", chance).drop("_m_")
+            else:
+                chosen = met.withColumn("pivot", F.lit(True))
+            p = chosen.filter("pivot").select(F.col("bucket").alias("_b_"), F.col("cid").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("other"))
+            # Two pivots meet twice; the smaller id asks then.
+            asks = (F.col("bucket") == F.col("_b_")) & (F.col("c") != F.col("d")) & near & (~F.col("pivot") | (F.col("cid") > F.col("y")))
+            pairs = chosen.join(p, asks).select(F.greatest("cid", "y").alias("a"), F.least("cid", "y").alias("b"), F.greatest("c", "d").alias("ca"), F.least("c", "d").alias("cb"))
         links = cut(verified(pairs.dropDuplicates(["a", "b"]), texts, size, percent))
         moves = cut(components(links, "ca", "cb"))
         step = moves.withColumnsRenamed({"id": "_i_", "component": "_c_"})
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         # A pivot is settled with its whole bucket; so is a bucket of one component.
         now = chosen.filter("not pivot").join(step, F.col("c") == F.col("_i_"), "left").select("bucket", "cid", "n", "bits", F.coalesce("_c_", "c").alias("c"))
         apart = now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("bucket")
-        met = cut(now.join(apart, "bucket"))
+        met = cut(now.join(cut(apart), "bucket"))
     remove(spark, path)
     if labels is None:
         labels = classes.select(F.col("cid").alias("id"), F.col("cid").alias("component")).limit(0)
