@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from . import text as tx
 
 #: Distinct pieces whose ids a worker keeps at most; beyond it the table starts anew (results stay the same).
-KEPT_PIECES = 1 << 20
+KEPT_PIECES = 1 << 19
 #: Bytes of text encoded at once: more of them share the steps of one run through the ranks.
 SLICE = 2 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3

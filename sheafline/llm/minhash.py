@@ -163,6 +163,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 union = n + m - shared
                 ok = pa.array((100 * shared >= percent * union) & (union > 0))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(4)], names=["a", "b", "ca", "cb"]).filter(ok)
+            tx.give_back()
 
     return both.mapInArrow(run, f"a {kind}, b {kind}, ca {kind}, cb {kind}")
 

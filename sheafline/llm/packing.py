@@ -62,6 +62,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
                 crc = np.array([zlib.crc32(flat[x : x + 4 * k]) for x, k in zip(at.tolist(), length.tolist(), strict=True)], np.int64)
                 keys = batch.column(0).slice(a, b - a).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            tx.give_back()
 
     return docs.select("doc_id", F.col(text).cast("string").alias("_text_")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -150,5 +150,6 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             for a, b in tx.slices(off):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(judge(part.column(at))["kept"]))
+            tx.give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,8 @@ worker follows the longest single text, never the batch.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -126,6 +128,18 @@ def run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return c[first[1:]] - c[first[:-1]]
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system after a batch: Python workers live on, and what they hold idle counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, fn: Callable[[pa.Array], dict], limit: int = SLICE_BYTES) -> DataFrame:
     """Columns `keep` and those that fn makes of slices of the text column; fields: their DDL."""
     keep_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
@@ -138,5 +152,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, fn: Callab
                 made = fn(col.slice(a, b - a))
                 arrays = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(v) if not isinstance(v, pa.Array) else v for v in made.values()], names=keep + list(made))
+                del made, arrays
+            give_back()
 
     return df.select(*keep, df[text].cast("string").alias("_text_")).mapInArrow(run, f"{keep_ddl}, {fields}" if keep_ddl else fields)

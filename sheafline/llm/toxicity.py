@@ -205,5 +205,6 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", cut: float = C
             for a, b in tx.slices(off):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(model.score(part.column(at)) < cut))
+            tx.give_back()
 
     return docs.mapInArrow(run, docs.schema)
