@@ -518,3 +518,25 @@ def test_pseudonyms_leave_the_rest(spark):
     whole = pii.replace_in(df)
     assert whole.columns == df.columns and {r.doc_id: r.text for r in whole.collect()} == {i: r.text for i, r in got.items()}
     assert pii.pseudonymise(empty(spark)).count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    a, b, c = "4111111111111111", "7536784127813050", "378282246310005"
+    spaced, amex = "4111 1111 1111 1111", "3782-822463-10005"
+    alone = [a, b, c, spaced, amex]
+    near = {
+        f"{a} 12/29": [a], f"{a}-12/29": [a], f"{spaced} 123": [spaced], f"{spaced} 12/29 123": [spaced], f"{amex} 1234": [amex], f"12/29 {a}": [a], f"12 {spaced}": [spaced],
+        f"{a} {b}": [a, b], f"{spaced} {spaced} {c}": [spaced, spaced, c], f"{a} 10.0.0.1": [a], f"1234 {spaced}": [spaced], f"1234 {spaced} 12/29": [spaced], f"{a} 555-123-4567": [a], f"x-{a}@mail.org {b} 1": [b],
+    }
+    texts = [*alone, *near, "4111 1111 1111 1112 123", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17"]
+    got = [r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), values=True).orderBy("doc_id").collect()]
+    new = {m: r.text for m, r in zip(alone, got, strict=False)}
+    assert all(new[m] != m for m in alone)
+    for (text, cards), r in zip(near.items(), got[len(alone) :], strict=False):
+        assert [v.m for v in r["values"] if v.kind == "card"] == cards, text
+        assert [v.pseudonym for v in r["values"] if v.kind == "card"] == [new[m] for m in cards], text
+        assert not any(m in r.text for m in cards), text
+    by = dict(zip(texts, got, strict=True))
+    assert by[f"{a} 12/29"].text == f"{new[a]} 12/29" and by[f"{spaced} 123"].text == f"{new[spaced]} 123" and by[f"1234 {spaced}"].text == f"1234 {new[spaced]}"
+    assert (by[f"{a} 10.0.0.1"].n_ipv4, by[f"{a} 555-123-4567"].n_phone, by[f"x-{a}@mail.org {b} 1"].n_email) == (1, 1, 1)
+    assert all(by[t].text == t for t in texts[-2:])
