@@ -4,9 +4,11 @@ Vectors are compared only under equal labels (and dimensions).  A label with
 more than SMALL vectors gets centroids, fitted on a bounded sample; every
 vector has the cell of its nearest centroid as home.  A vector near a border is
 also a guest of the cells beyond it: the distance of y to the border of cells
-C and D is (cos(y, D) - cos(y, C)) / |D - C|, and a link moves a vector by at most
-sqrt(2 - 2 tau), of which MARGIN / sqrt(d) standard parts may point across the border.  (MARGIN =
-sqrt(d) would be exact whatever the data.)  Each pair is counted in one cell.
+C and D is (cos(y, C) - cos(y, D)) / |C - D|, and a link spans at most
+sqrt(2 - 2 tau).  A link across the border has its ends on both sides, their
+distances to it add up to its length at most, so one of them lies within half of
+it: guests up to MARGIN = 1/2 of that span find every link, whatever the data.
+Each pair is counted in one cell.
 
 A cell is dealt into blocks of about BLOCK vectors by a hash, and each pair of
 blocks is one group of a grouped map: memory is bounded by two blocks, a hot
@@ -33,7 +35,9 @@ from .components import components
 from .lineage import cut
 
 THRESHOLD = 0.93
-SMALL, BLOCK, MARGIN = 2048, 1024, 3.0
+SMALL, BLOCK, MARGIN = 2048, 1024, 0.5
+#: Slack for rounding, in distance to a border.
+SLACK = 1e-6
 #: Vectors that centroids are fitted on at most, and centroids in all at most.
 FIT_VECTORS, CENTROIDS = 100_000, 65_536
 
@@ -87,9 +91,9 @@ class Cells:
             return np.zeros(len(x), int), np.ones((len(x), 1), bool)
         s = x @ c.T
         home = s.argmax(1)
-        apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-12))[home]
+        apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-8))[home]
         margin = (s[np.arange(len(x)), home][:, None] - s) / apart
-        part = margin <= min(1.0, MARGIN / sqrt(x.shape[1])) * self.reach
+        part = margin <= MARGIN * self.reach + SLACK
         part[np.arange(len(x)), home] = True
         return home, part
 

@@ -272,6 +272,19 @@ def test_isotonic_is_the_best_monotone_fit():
 # op5
 
 
+def test_no_link_is_lost_between_cells(spark, monkeypatch):
+    """Few effective dimensions of many: links point across borders more than in round data."""
+    monkeypatch.setattr(embed_dedup, "SMALL", 50)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 400)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 6)) @ rng.normal(size=(6, 384))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(len(x))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df).select("vec_id", "n_links").collect()}
+    assert [got[i] for i in range(len(x))] == hit.sum(1).tolist()
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "SMALL", 50)
     monkeypatch.setattr(embed_dedup, "BLOCK", 40)
