@@ -205,10 +205,7 @@ def results_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("near_duplicate_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 100 = 0 WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.9 * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))")
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Rejected near copies of each drawn vector (ids divisible by 100) among all later ones."""
+    """All pairs of near copies."""
     from ..operators import retrieval as rt
 
-    e = table(spark, sf, "embeddings")
-    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    hits = rt.scores(queries, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 12)
-    return hits.filter("score > 0.9 and id > qid").select(F.col("qid").alias("a"), F.col("id").alias("b"))
+    return rt.near_pairs(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.9)
