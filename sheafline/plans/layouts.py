@@ -37,8 +37,9 @@ def fuzzy_label_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("nfkc_units")
 def nfkc_units(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.explode(F.slice(chunks.tokens(F.col("text")), 1, 3)).alias("word"))
-    return words.withColumn("unit", layout.normal_unit("word")).groupBy("unit").agg(F.count("*").alias("n"))
+    """Words are counted first, so each distinct one is normalised once."""
+    words = table(spark, sf, "documents").select(F.explode(chunks.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.withColumn("unit", layout.normal_unit("word")).groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 @query("point_ids")

@@ -31,6 +31,11 @@ def plain(con, sql):
     return sorted(con.execute(sql).fetchall(), key=repr)
 
 
+def test_units_of_whole_texts(spark, con):
+    want = Counter(unicodedata.normalize("NFKC", w).strip().lower() for (t,) in con.execute("select text from documents where text is not null").fetchall() for w in re.split(r"[ \t\n\x0B\f\r]+", t) if w)
+    assert dict(rows_of(spark, "nfkc_units", "unit", "n")) == dict(want)
+
+
 def test_all_near_pairs(spark, con):
     sql = "with v as (select vec_id, embedding::double[] as e from embeddings) select a.vec_id, b.vec_id from v a join v b on a.vec_id < b.vec_id where list_dot_product(a.e, b.e) > 0.9 * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))"
     assert rows_of(spark, "near_duplicate_pairs", "a", "b") == plain(con, sql)
