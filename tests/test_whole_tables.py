@@ -36,6 +36,13 @@ def test_units_of_whole_texts(spark, con):
     assert dict(rows_of(spark, "nfkc_units", "unit", "n")) == dict(want)
 
 
+def test_every_order_is_rebuilt_and_scored(spark, con):
+    orders = {str(k): n for k, n in con.execute("select l_orderkey, count(*) from lineitem group by 1").fetchall()}
+    cells = catalog.QUERIES["glyph_to_cells"](spark, SF).select("unit").distinct().collect()
+    assert {r.unit for r in cells} == set(orders)
+    assert dict(rows_of(spark, "cell_scores", "unit", "n")) == {k: 2 * n for k, n in orders.items()}
+
+
 def test_all_near_pairs(spark, con):
     sql = "with v as (select vec_id, embedding::double[] as e from embeddings) select a.vec_id, b.vec_id from v a join v b on a.vec_id < b.vec_id where list_dot_product(a.e, b.e) > 0.9 * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))"
     assert rows_of(spark, "near_duplicate_pairs", "a", "b") == plain(con, sql)
