@@ -64,3 +64,10 @@ def test_near_pairs_across_blocks(spark):
     df = spark.createDataFrame([*((i + 1, v.tolist()) for i, v in enumerate(x)), *odd], "id long, vec array<double>")
     got = [tuple(r) for r in retrieval.near_pairs(df, 0.9, block=30).collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(a % 100 for a, _ in want)
+
+
+def test_long_documents_admit_words(spark, con):
+    want = r"""with w as (select item_id, v, count(*) as k from (select item_id, unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) as v from benchmark) where v <> '' group by all),
+p as (select item_id, v, count(*) as c from (select doc_id % 40 as item_id, unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) as v from documents) group by all)
+select item_id, sum(k)::bigint, sum(least(k, coalesce(c, 0)))::bigint from w left join p using (item_id, v) group by item_id"""
+    assert rows_of(spark, "multiset_admission", "item_id", "n", "admitted") == plain(con, want)
