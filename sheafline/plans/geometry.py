@@ -155,7 +155,7 @@ def json_props_extract(spark: SparkSession, sf: str) -> DataFrame:
 @query("attribute_paths", "SELECT 'events.' || event_type || '.' || (row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) - 1) || '.user' AS path, user_id AS value FROM events WHERE user_id <= 20")
 def attribute_paths(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = table(spark, sf, "events").filter("user_id <= 20").withColumn("i", F.row_number().over(w) - 1)
+    rows = table(spark, sf, "events").withColumn("i", F.row_number().over(w) - 1)
     return rows.select(F.concat_ws(".", F.lit("events"), "event_type", F.col("i").cast("string"), F.lit("user")).alias("path"), F.col("user_id").alias("value"))
 
 

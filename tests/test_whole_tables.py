@@ -71,3 +71,35 @@ def test_long_documents_admit_words(spark, con):
 p as (select item_id, v, count(*) as c from (select doc_id % 40 as item_id, unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) as v from documents) group by all)
 select item_id, sum(k)::bigint, sum(least(k, coalesce(c, 0)))::bigint from w left join p using (item_id, v) group by item_id"""
     assert rows_of(spark, "multiset_admission", "item_id", "n", "admitted") == plain(con, want)
+
+
+def test_division_of_all_orders(spark, con):
+    need, groups = {}, {}
+    for o, p, s in con.execute("select l_orderkey, l_partkey, l_suppkey from lineitem").fetchall():
+        need.setdefault(o, set()).add(s)
+        groups.setdefault(p % 50, set()).add(s)
+    want = [(o, g) for o, items in need.items() for g, have in groups.items() if items <= have]
+    n = Counter(o for o, _ in want)
+    assert rows_of(spark, "relational_division_unique", "l_orderkey", "grp", "n_candidates") == sorted(((o, g, n[o]) for o, g in want), key=repr)
+
+
+def test_all_orders_cited(spark, con):
+    assert rows_of(spark, "cited_within_supplied", "o_orderkey", "within", "n") == plain(con, "select o_orderkey, max(l_suppkey) <= 5, count(*) from orders join lineitem on o_orderkey = l_orderkey group by 1")
+
+
+def test_all_events_have_paths(spark, con):
+    sql = "select 'events.' || event_type || '.' || (row_number() over (partition by event_type order by epoch_us(ts), event_id) - 1) || '.user', user_id from events"
+    assert rows_of(spark, "attribute_paths", "path", "value") == plain(con, sql)
+
+
+def test_paths_of_any_user(spark, tmp_path):
+    spark.sql("select event_id, timestamp_ntz'2024-01-01 00:00:00' as ts, 'view' as event_type, user_id from values (1L, 21L), (2L, 5L) as t(event_id, user_id)").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["attribute_paths"](spark, str(tmp_path)).collect()}
+    assert got == {("events.view.0.user", 21), ("events.view.1.user", 5)}
+
+
+def test_orphans_of_all_customers(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (3, 1), (4, 10)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 1), (2, 10), (3, 7)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["orphans_both_ways"](spark, str(tmp_path)).collect()}
+    assert got == {(0, "customer only"), (1, "customer only"), (7, "supplier only")}
