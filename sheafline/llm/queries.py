@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight equal shards; the law is `key`: grown_shard is the shard once a ninth is added."""
-    out = sharding.shard_documents(_table(spark, sf_dir, "documents"), sharding.tree(8), sharding.tree(9))
+    out = sharding.shard_documents(_table(spark, sf_dir, "documents"), eight := sharding.tree(8), sharding.grown(eight))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

@@ -1,20 +1,24 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A tree has regions, racks and shards; every shard has a weight.  For a key,
-each shard draws an exponential variate whose rate is its weight, from a hash
-of (key, shard).  The draw of a rack is the least draw of its shards and the
-draw of a region the least of its racks, so a node's draw is exponential with
-the summed weight of its subtree as rate: descending to the least draw at each
-level chooses a child with probability weight / sibling weights.  A changed
-weight touches only the draws on the path to its root, so keys move only into
-or out of the subtree that changed, and a new shard takes keys only into itself.
-
-All of it is one projection of built-in functions; only the slots shuffle, and
-they shuffle (shard, salt, key, size, crc), never texts.
+A tree has regions, racks and shards; every shard has a weight, and a rack or
+region weighs as much as its shards.  A key descends: at each level every child
+of the node reached draws an exponential variate from a hash of (key, child),
+with the child's weight as rate, and the least draw wins, so a child is chosen
+with probability weight / sibling weights.  A changed weight touches only the
+draws of the nodes on its path: at each level keys move only into (or out of)
+the child whose weight changed, all other subtrees keep their keys.  A shard
+that is added as a region of its own (`grown`) therefore takes keys only into
+itself, and the others keep theirs.
+
+Per row the cost is a hash and a logarithm for each child of the three nodes
+passed, not for each shard.  All of it is one projection of built-in functions
+over a literal tree.  Rows (key, size, crc, shard) are written once, so texts
+are read once; only the slots shuffle.
 
 Cases: a null key is drawn like any other value; a null text has no bytes
-(size 1, crc 0); repeated rows go to one shard and get slots of their own;
-an empty table gives an empty table; other columns of the input are not read.
+(size 1, crc 0); repeated rows go to one shard and get slots of their own, dealt
+to parts like other rows; an empty table gives an empty table; other columns of
+the input are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 SALTS = 512
 
 
@@ -36,27 +42,37 @@ class Shard(NamedTuple):
 
 
 def tree(n_shards: int, racks: int = 2, per_rack: int = 2) -> list[Shard]:
-    """Equal shards in racks of per_rack and regions of racks; more shards extend the tree at its end."""
+    """Equal shards in racks of per_rack and regions of racks."""
     return [Shard(i, f"r{i // (per_rack * racks)}", f"k{i // per_rack}") for i in range(n_shards)]
 
 
-def _draw(key: Column, s: Shard) -> Column:
-    """Exponential with rate s.weight, from 53 bits of the hash; the same wherever the shard stands."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard:{s.shard}")), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
-    return -F.log(u) / F.lit(float(s.weight))
+def grown(shards: Sequence[Shard], weight: float = 1.0) -> list[Shard]:
+    """The shards and one more, which is a region of its own."""
+    new = max((s.shard for s in shards), default=-1) + 1
+    return [*shards, Shard(new, f"own {new}", "own", weight)]
+
+
+def _nodes(shards: Sequence[Shard], levels: tuple[str, ...] = ("region", "rack"), path: str = "") -> Column:
+    """array<struct<seed, weight, below>> of the children at this level; below: their children, or the shard."""
+    if not levels:
+        return F.array(*[F.struct(F.lit(f"{path}/{s.shard}").alias("seed"), F.lit(float(s.weight)).alias("weight"), F.lit(s.shard).alias("below")) for s in shards])
+    parts: dict[str, list[Shard]] = {}
+    for s in shards:
+        parts.setdefault(getattr(s, levels[0]), []).append(s)
+    return F.array(*[
+        F.struct(F.lit(f"{path}/{name}").alias("seed"), F.lit(float(sum(s.weight for s in part))).alias("weight"), _nodes(part, levels[1:], f"{path}/{name}").alias("below"))
+        for name, part in parts.items()
+    ])
 
 
-def _least(cols: Sequence[Column]) -> Column:
-    return cols[0] if len(cols) == 1 else F.least(*cols)
+def _drawn(key: Column, nodes: Column) -> Column:
+    """What is below the child with the least draw (the least name on a tie)."""
 
+    def draw(c: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(key, c["seed"]), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+        return F.struct((-F.log(u) / c["weight"]).alias("draw"), c["seed"].alias("seed"), c["below"].alias("below"))
 
-def _pick(options: list[tuple[Column, Column]]) -> Column:
-    """The result of the option with the least draw; the first on a tie."""
-    draws = [d for d, _ in options]
-    low, out = _least(draws), options[-1][1]
-    for d, r in reversed(options[:-1]):
-        out = F.when(d == low, r).otherwise(out)
-    return out
+    return F.array_min(F.transform(nodes, draw))["below"]
 
 
 def place(df: DataFrame, key: str, shards: Sequence[Shard], name: str) -> DataFrame:
@@ -64,26 +80,19 @@ def place(df: DataFrame, key: str, shards: Sequence[Shard], name: str) -> DataFr
     live = [s for s in shards if s.weight > 0]
     if not live:
         raise ValueError("no shard has weight")
-    draws = {s.shard: F.col("_draws_")[i] for i, s in enumerate(live)}
-
-    def descend(group: list[Shard], levels: tuple[str, ...]) -> Column:
-        if not levels:
-            return _pick([(draws[s.shard], F.lit(s.shard)) for s in group])
-        parts: dict[str, list[Shard]] = {}
-        for s in group:
-            parts.setdefault(getattr(s, levels[0]), []).append(s)
-        return _pick([(_least([draws[s.shard] for s in p]), descend(p, levels[1:])) for p in parts.values()])
-
-    return df.withColumn("_draws_", F.array(*[_draw(F.col(key), s) for s in live])).withColumn(name, descend(live, ("region", "rack"))).drop("_draws_")
+    k = F.col(key)
+    return df.withColumn(name, _drawn(k, _drawn(k, _drawn(k, _nodes(live)))))
 
 
-def gapless(df: DataFrame, group: str, order: Sequence[str], name: str, salts: int = SALTS) -> DataFrame:
+def gapless(df: DataFrame, group: str, order: Sequence[str], name: str, salts: int | Column = SALTS) -> DataFrame:
     """Numbers 0, 1, ... within each group without bringing a group together.
 
-    Rows are dealt to (group, salt); a small table of counts (at most groups x
-    salts rows) gives each part its first number.
+    df must be a table written before (see lineage): it is read twice, and rows
+    are dealt to (group, salt) by their place in it, equal rows too.  A small
+    table of counts (at most groups x salts rows) gives each part its first
+    number.  salts may be an expression of the group.
     """
-    df = df.withColumn("_salt_", F.pmod(F.xxhash64(*order, F.lit("slot")), F.lit(salts)).cast("int"))
+    df = df.withColumn("_salt_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts if isinstance(salts, Column) else F.lit(salts)).cast("int"))
     counts = df.groupBy(group, "_salt_").agg(F.count("*").alias("_n_"))
     before = Window.partitionBy(group).orderBy("_salt_").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(group).alias("_g_"), F.col("_salt_").alias("_s_"), F.coalesce(F.sum("_n_").over(before), F.lit(0)).alias("_start_"))
@@ -98,4 +107,4 @@ def shard_documents(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Sh
     rows = docs.select(F.col(key), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     rows = place(rows, key, shards, "shard")
     rows = place(rows, key, grown, "grown_shard") if grown is not None else rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    return gapless(rows, "shard", [key, "text_crc32", "size"], "slot")
+    return gapless(cut(rows), "shard", [key, "text_crc32", "size"], "slot")
