@@ -8,11 +8,18 @@ Reduction: going down the lengths, a set that holds the longest piece is fixed
 for good where it provably dominates every other set with that piece: the piece
 alone if nothing fits beside it; with its exact complement; with the longest
 piece that fits, if no two others fit, or if no three fit and no fitting pair
-is larger than that piece.  The rest is packed best-fit, longest first.
+is larger than that piece.  Fixing sets only takes pieces away, and with fewer
+pieces a dominance stays one, so a set is fixed as often as its pieces last:
+every step uses up a length, and the plan has a small multiple of `capacity`
+rows however many pieces there are.  The rest is packed best-fit, longest
+first, whole runs of sequences with equal room at a time; a run that takes in
+pieces of a length is left with less than half its room, so it is visited
+log2(capacity) times at most.
 
 Pieces get numbers 0, 1, ... within their length (see sharding.gapless) and find
-their place in the plan, a table of a bounded number of rows, by length and
-number.  Full pieces are sequences of their own.
+their place in the plan by length and number.  The numbers of a length are dealt
+to salts in proportion to its count (PARTS in all), so a length that a third of
+the pieces have is numbered by a third of all parts.  Full pieces are sequences of their own.
 
 Cases: a null text is empty (one token, the end mark); a null doc_id keeps its
 row; repeated rows are packed each; an empty table gives an empty table; longer
@@ -37,6 +44,8 @@ from .sharding import gapless
 
 CAPACITY = 1024
 END = 2
+#: Parts among which all pieces are numbered, about; each length has one at least.
+PARTS = 1 << 15
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, text: str = "text") -> DataFrame:
@@ -137,7 +146,7 @@ class Plan:
                         three = len(small) > 2 and sum(small) <= room
                         if two and (three or self._pair_above(b, room, w)):
                             break
-                        self._fix([w, b], 1)
+                        self._fix([w, b], self.left[w] // 2 if b == w else min(self.left[w], self.left[b]))
                     changed = True
 
     def _best_fit(self) -> None:
@@ -180,7 +189,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, t
     places = spark.createDataFrame(plan.places, schema)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     full = cutpieces.filter(F.col("length") == capacity).withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long"))
-    part = gapless(cutpieces.filter(F.col("length") < capacity), "length", ["doc_id", "piece", "ids_crc32"], "_rank_in_", salts=64)
+    total = max(1, sum(counts.values()))
+    salts = F.element_at(F.array(*[F.lit(max(1, -(-PARTS * counts.get(k, 0) // total))) for k in range(1, capacity + 1)]), F.col("length").cast("int"))
+    part = gapless(cutpieces.filter(F.col("length") < capacity), "length", ["doc_id", "piece", "ids_crc32"], "_rank_in_", salts)
     here = (F.col("length") == F.col("_length_")) & (F.col("_rank_in_") >= F.col("_from_")) & (F.col("_rank_in_") < F.col("_to_"))
     step = F.col("_rank_in_") - F.col("_from_")
     part = part.join(F.broadcast(places), here).withColumn("sequence_id", F.col("_sequence_") + F.expr("(_rank_in_ - _from_) div _per_")).withColumn("offset", F.col("_offset_") + (step % F.col("_per_")) * F.col("length"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -55,7 +56,7 @@ def test_words_and_hashes():
 
 def test_sharding_law_and_slots(spark):
     df = table(spark)
-    rows = sharding.shard_documents(df, sharding.tree(8), sharding.tree(9)).collect()
+    rows = sharding.shard_documents(df, sharding.tree(8), sharding.grown(sharding.tree(8))).collect()
     assert len(rows) == df.count()
     by = collections.defaultdict(list)
     for r in rows:
@@ -77,12 +78,50 @@ def test_sharding_weights_and_movement(spark):
     share = collections.Counter(got.values())
     for s in base:
         assert abs(share[s.shard] / 20_000 - s.weight / 8) < 0.015
-    heavier = [s._replace(weight=4.0) if s.shard == 2 else s for s in base]
-    after = {r.k: r.s for r in sharding.place(ids, "k", heavier, "s").collect()}
-    assert all(after[k] in (got[k], 2) for k in got)
-    lighter = [s._replace(weight=0.0) if s.shard == 1 else s for s in base]
-    after = {r.k: r.s for r in sharding.place(ids, "k", lighter, "s").collect()}
-    assert all(after[k] == got[k] or got[k] == 1 for k in got)
+    def moved(changed):
+        """Keys that differ, with their places in the tree before and after."""
+        at = {s.shard: s for s in base}
+        after = {r.k: r.s for r in sharding.place(ids, "k", changed, "s").collect()}
+        return [(at[got[k]], at[after[k]]) for k in got if after[k] != got[k]]
+
+    # At each level keys move only into a child that became heavier, or out of one that became lighter.
+    heavier = moved([s._replace(weight=4.0) if s.shard == 2 else s for s in base])
+    assert heavier and all(y.region == "a" and (x.region == "b" or (x.rack, y.rack) == ("p", "q")) for x, y in heavier)
+    lighter = moved([s._replace(weight=0.0) if s.shard == 1 else s for s in base])
+    assert lighter and all(x.region == "a" and (y.region == "b" or (x.rack, y.rack) == ("p", "q") or (x.shard, y.shard) == (1, 0)) for x, y in lighter)
+    more = {r.k: r.s for r in sharding.place(ids, "k", sharding.grown(base, 2.0), "s").collect()}
+    assert {(got[k], more[k]) for k in got if got[k] != more[k]} == {(i, 4) for i in range(4)}
+    assert abs(sum(v == 4 for v in more.values()) / 20_000 - 0.2) < 0.015
+
+
+def test_sharding_descends_the_tree(spark):
+    """The plain descent, key by key; another tree of the same shards places keys elsewhere."""
+    eight = [s._replace(weight=1.0 + s.shard % 3) for s in sharding.tree(8)]
+    ids = spark.range(300).withColumnRenamed("id", "k")
+    seeds = sorted({p for s in eight for p in (f"/{s.region}", f"/{s.region}/{s.rack}", f"/{s.region}/{s.rack}/{s.shard}")})
+    hashed = ids.selectExpr("k", *[f"xxhash64(k, '{p}') as `{p}`" for p in seeds]).collect()
+    got = {r.k: r.s for r in sharding.place(ids, "k", eight, "s").collect()}
+    for row in hashed:
+        part, path = eight, ""
+        for level in ("region", "rack", "shard"):
+            weight = collections.Counter()
+            for s in part:
+                weight[getattr(s, level)] += s.weight
+            draw = lambda c: -np.log(((row[f"{path}/{c}"] % 2**64 >> 11) + 0.5) * 2.0**-53) / weight[c]  # noqa: B023, E731
+            best = min(weight, key=draw)
+            part, path = [s for s in part if getattr(s, level) == best], f"{path}/{best}"
+        assert got[row.k] == part[0].shard
+    flat = {r.k: r.s for r in sharding.place(ids, "k", [s._replace(region="r", rack="k") for s in eight], "s").collect()}
+    assert flat != got
+
+
+def test_slots_of_repeated_rows_are_dealt(spark):
+    df = spark.createDataFrame([(None, "same")] * 3000 + [(1, "same")] * 100, "doc_id long, text string")
+    rows = sharding.shard_documents(df, sharding.tree(8)).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert len(rows) == 3100 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
 # op2
@@ -427,6 +466,21 @@ def test_plan_is_whole_and_no_worse_than_best_fit(seed):
         assert at <= 1024
 
 
+@pytest.mark.parametrize(
+    "counts",
+    [{600: 500_000, 400: 500_000}, {700: 10**6, 300: 10**6}, {k: 7_353 + k for k in range(345, 481)}, {k: 10**6 + k % 7 for k in range(1, 1024)}, {k: 1 + k * k % 999_983 for k in range(1, 1024)}],
+)
+def test_plan_is_bounded_whatever_the_counts(counts):
+    start = time.perf_counter()
+    p = packing.Plan(counts)
+    assert len(p.places) <= 8 * packing.CAPACITY and time.perf_counter() - start < 5
+    put = collections.Counter()
+    for length, a, b, *_ in p.places:
+        put[length] += b - a
+    assert put == collections.Counter(counts)
+    assert p.sequences >= -(-sum(k * n for k, n in counts.items()) // packing.CAPACITY)
+
+
 def test_plan_is_optimal_on_small_instances():
     def fewest(items, rooms=()):
         if not items:
