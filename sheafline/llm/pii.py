@@ -2,20 +2,34 @@
 
 Values are found by one pattern and validated by kind: payment cards (Luhn),
 IPv4 addresses (octets), telephone numbers, social security numbers (area,
-group, serial) and dates (calendar).  A validated value is a number in the
-domain of its format, split as l < A and r < B, and goes through a keyed
-alternating Feistel network on Z_A x Z_B, which is a permutation of the domain:
-equal values get equal pseudonyms in all documents, different ones different
-pseudonyms, and the pseudonym has the same shape and is valid again.  Mail
-addresses and secrets have no numeric domain; they become keyed digests of
-their shape.  What looks like a value but fails its check stays as it is.
-
-A card in a usual grouping is found whatever number stands before or after it;
-other groupings only where no more digits follow.
-
-The cost is six passes of three patterns over texts that hold a value and three
-over the others; there is no shuffle.  The key is a parameter and belongs in a
-secret store; the default only serves tests.
+group, serial) and dates (calendar).  A validated value is a number in a domain
+that depends on the value and not on how it is written, split as l < A and
+r < B, and goes through a keyed alternating Feistel network on Z_A x Z_B, which
+is a permutation of the domain; then it is written in the form it was found in.
+So equal values get equal pseudonyms in all documents and all their forms,
+different ones different pseudonyms, and the pseudonym is valid again:
+
+* cards: the digits before the check digit, by length;
+* IPv4: 32 bits (an octet written with leading zeros keeps its width);
+* telephone numbers of ten digits, with or without +1: area and exchange stay
+  on their side of 200; others: the digits behind the first one;
+* dates: the day, 1900 to 2099.  Days up to the 12th and later ones are domains
+  of their own, so that slash dates, which are read as day/month/year where they
+  can be, never meet those that can only be month/day/year;
+* social security numbers: area, group and serial.
+
+Mail addresses and secrets have no numeric domain; they become keyed digests of
+their shape.  What looks like a value but fails its check stays as it is, and so
+does an unbroken run of ten digits, which is no telephone number by itself.
+
+A card in a usual grouping is found whatever number stands before or after it:
+where the text holds a valid one, a mark (a code point that is no character) is
+put before it, and the pattern takes marked cards first; other groupings are
+found only where no more digits follow.
+
+All patterns are fixed and look at a bounded number of characters from each
+place, so the cost is linear in the text whatever it holds.  There is no
+shuffle.  The key is required and belongs in a secret store (see `key_of`).
 
 Cases: null text stays null with no values; empty text stays empty; repeated
 rows give equal rows; an empty table gives an empty table; of the other columns
@@ -24,30 +38,56 @@ only those in `keep` are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Dates lie in [FIRST_DAY, FIRST_DAY + 17 * 4297), the years 1900 to 2099.
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297
+#: Dates lie in the 73,049 days (2,400 months) from here.
+FIRST_DAY, MONTHS = "1900-01-01", 2400
+#: Days up to the 12th of a month: 28,800. Later days: 44,249, one less than the domain.
+EARLY_A, EARLY_B, LATE_A, LATE_B, LATE = 160, 180, 150, 295, 44249
 #: Valid areas 001-899 but 666, groups 01-99, serials 0001-9999.
 SSN_A, SSN_B = 898 * 99, 9999
-#: Area and exchange [2-9]dd, then four digits: 800 * 100 on either side.
-NANP_HALF = 80000
 KINDS = ("email", "ipv4", "phone", "card", "ssn", "date", "secret")
+#: Session setting that holds the key.
+KEY_CONF = "spark.sheafline.pii.key"
 
-_EMAIL = r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}+"
+#: Marks before a valid card in a usual grouping (long, other), and what a mark of the text itself is followed by meanwhile.
+_MARK_LONG, _MARK, _OWN = "\ufdd0", "\ufdd1", "\ufdd2"
+_ANY = f"[{_MARK_LONG}{_MARK}]"
+_EMAIL = r"[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,16}[A-Za-z]{2,24}+"
 _IP = r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 _DATE = r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{2}[/.]\d{2}[/.]\d{4}(?!\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 _PHONE = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d){7,12}(?!\d)"
 _SECRET = r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+"
-_HEAD, _TAIL = rf"(?<![A-Za-z0-9_])(?=[A-Za-z0-9(+._%-])(?:{_EMAIL}|{_IP}|{_DATE}|{_SSN}|", rf"{_CARD}|{_PHONE}|{_SECRET})"
-PATTERN = _HEAD + _TAIL
-#: Usual groupings of a card, whatever digits follow behind a space or hyphen; the longer of two that start alike comes first.
-_LONG_GROUPS = r"(?<![A-Za-z0-9_])(?=(\d{4}(?:[ -]\d{4}){3}[ -]\d{3})(?!\d))"
-_GROUPS = r"(?<![A-Za-z0-9_])(?=(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}[ -]\d{4}[ -]\d{5}|\d{6}[ -]\d{13})(?!\d))"
+#: Usual groupings of a card; the longest that starts at a place counts first if it is valid.
+_LONG_GROUPS = r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}"
+_GROUPS = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}[ -]\d{4}[ -]\d{5}|\d{6}[ -]\d{13}"
+#: Starts of groupings, but for those inside a mail address.
+_STARTS = rf"(?<![A-Za-z0-9_@])(?=({_LONG_GROUPS}(?!\d))?)(?=({_GROUPS})(?!\d))(?![\d-]{{13,23}}[A-Za-z0-9._%+-]{{0,63}}+@[A-Za-z0-9])"
+
+
+def _marked(groups: str) -> str:
+    """The grouping with marks of later starts in it."""
+    return groups.replace("[ -]", f"[ -]{_ANY}?")
+
+
+PATTERN = (
+    rf"{_MARK_LONG}{_marked(_LONG_GROUPS)}(?!\d)|{_MARK}(?:{_marked(_GROUPS)})(?!\d)"
+    rf"|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_(+])(?:{_EMAIL}|{_IP}|{_DATE}|{_SSN}|{_CARD}|{_PHONE}|{_SECRET})"
+)
+
+
+def key_of(spark: SparkSession, default: str | None = None) -> str:
+    """The session's key (KEY_CONF); the default where it has none, an error without one."""
+    key = spark.conf.get(KEY_CONF, default)
+    if not key:
+        raise ValueError(f"no key for pseudonyms: set {KEY_CONF}")
+    return key
 
 
 def _num(s: Column) -> Column:
@@ -99,18 +139,18 @@ def _classify(m: Column) -> Column:
     mdy = local & _valid_day(part(5, 4), part(1, 2), part(3, 2))
     ssn = m.rlike(r"^\d{3}-\d{2}-\d{4}$") & part(1, 3).between(1, 899) & (part(1, 3) != 666) & (part(4, 2) > 0) & (part(6, 4) > 0)
     card = m.rlike(r"^\d[\d -]*\d$") & n.between(13, 19) & (_luhn_sum(digits, 0) % 10 == 0)
-    phone = m.rlike(r"^[+(\d][\d ().-]*\d$") & (n.between(8, 15) & m.startswith("+") | (n == 10) | ((n == 11) & digits.startswith("1")))
-    nanp = phone & F.when(n == 10, digits).when((n == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).rlike(r"^[2-9]\d\d[2-9]")
+    ten = (n == 10) | ((n == 11) & digits.startswith("1"))
+    phone = m.rlike(r"^[+(\d][\d ().-]*\d$") & F.when(m.startswith("+"), n.between(8, 15)).otherwise(ten & m.rlike(r"[ ().-]"))
     form = (
         F.when(F.contains(m, F.lit("@")), "email").when(m.rlike(r"^AKIA[A-Z0-9]{16}$"), "key").when(m.rlike(r"^[A-Za-z]"), "secret")
-        .when(ip, "ipv4").when(ymd, "ymd").when(dmy, "dmy").when(mdy, "mdy").when(ssn, "ssn").when(card, "card").when(nanp, "nanp").when(phone, "phone")
+        .when(ip, "ipv4").when(ymd, "ymd").when(dmy, "dmy").when(mdy, "mdy").when(ssn, "ssn").when(card, "card").when(phone & ten & ~(m.startswith("+") & (n == 10)), "nanp").when(phone, "phone")
     )
     kind = F.when(form.isin("key", "secret"), "secret").when(form.isin("ymd", "dmy", "mdy"), "date").when(form.isin("nanp", "phone"), "phone").otherwise(form)
     return F.struct(m.alias("m"), form.alias("form"), kind.alias("kind"), digits.alias("digits"))
 
 
 def _split(x: Column) -> Column:
-    """struct(..., l, a, r, b): the value as a point of Z_a x Z_b (nulls where no number is permuted)."""
+    """struct(..., domain, l, a, r, b): the value as a point of Z_a x Z_b (nulls where no number is permuted)."""
     form, d = x["form"], x["digits"]
     part = lambda a, k: _num(F.substring(d, a, k))
     octet = lambda i: F.try_element_at(F.split(x["m"], r"\."), F.lit(i)).try_cast("long")
@@ -118,36 +158,63 @@ def _split(x: Column) -> Column:
     mo = F.when(form == "ymd", part(5, 2)).when(form == "dmy", part(3, 2)).otherwise(part(1, 2))
     da = F.when(form == "ymd", part(7, 2)).when(form == "dmy", part(1, 2)).otherwise(part(3, 2))
     is_date = form.isin("ymd", "dmy", "mdy")
+    months = (y - 1900) * 12 + mo - 1
     day = F.when(is_date, F.datediff(F.make_date(F.when(is_date, y.cast("int")), F.when(is_date, mo.cast("int")), F.when(is_date, da.cast("int"))), F.lit(FIRST_DAY).cast("date")).cast("long"))
+    early = is_date & (da <= 12)
+    nth = F.when(early, months * 12 + da - 1).when(is_date, day - 12 * (months + 1))  # the number of the day in its domain
+    width = F.when(early, EARLY_A).otherwise(LATE_A)
     area = part(1, 3)
     area = area - 1 - F.when(area > 666, 1).otherwise(0)
     last10 = F.substring(d, -10, 10)
-    half = lambda a: (_num(F.substring(last10, a, 1)) - 2) * 100 + _num(F.substring(last10, a + 1, 2))
-    n = F.length(d) - F.when(form == "card", 1).otherwise(0)  # the check digit is made anew
+    first, second, tail = (_num(F.substring(last10, at, k)) for at, k in ((1, 3), (4, 3), (7, 4)))
+    low, mid = first < 200, second < 200  # such an area has any exchange
+    first_n, second_n = F.when(low, 200).otherwise(800), F.when(low, 1000).when(mid, 200).otherwise(800)
+    first_0, second_0 = F.when(low, 0).otherwise(200), F.when(low | mid, 0).otherwise(200)
+    # The check digit of a card is made anew; the first digit of a telephone number with a country code stays.
+    skip = F.when(form == "phone", 1).otherwise(0)
+    n = F.length(d) - F.when(form.isin("card", "phone"), 1).otherwise(0)
     k = F.floor(n / 2).cast("int")
-    left, right = _num(F.substr(d, F.lit(1), k)), _num(F.substr(d, k + 1, n - k))
-    tail = _num(F.substring(last10, 7, 4))
-    l = F.when(form == "ipv4", octet(1) * 256 + octet(2)).when(is_date, F.expr("1") * day % DAYS_A).when(form == "ssn", area * 99 + part(4, 2) - 1).when(form == "nanp", half(1) * 100 + F.floor(tail / 100)).when(form.isin("card", "phone"), left)  # noqa: E741
-    r = F.when(form == "ipv4", octet(3) * 256 + octet(4)).when(is_date, F.floor(day / DAYS_A)).when(form == "ssn", part(6, 4) - 1).when(form == "nanp", half(4) * 100 + tail % 100).when(form.isin("card", "phone"), right)
-    a = F.when(form == "ipv4", F.lit(65536)).when(is_date, DAYS_A).when(form == "ssn", SSN_A).when(form == "nanp", NANP_HALF).otherwise(_pow10(k))
-    b = F.when(form == "ipv4", F.lit(65536)).when(is_date, DAYS_B).when(form == "ssn", SSN_B).when(form == "nanp", NANP_HALF).otherwise(_pow10(n - k))
-    return F.struct(x["m"].alias("m"), form.alias("form"), x["kind"].alias("kind"), d.alias("digits"), k.alias("k"), n.alias("n"), l.cast("long").alias("l"), a.cast("long").alias("a"), r.cast("long").alias("r"), b.cast("long").alias("b"))
+    left, right = _num(F.substr(d, skip + 1, k)), _num(F.substr(d, skip + k + 1, n - k))
+    l = (  # noqa: E741
+        F.when(form == "ipv4", octet(1) * 256 + octet(2)).when(is_date, nth % width).when(form == "ssn", area * 99 + part(4, 2) - 1)
+        .when(form == "nanp", (first - first_0) * 100 + F.floor(tail / 100)).when(form.isin("card", "phone"), left)
+    )
+    r = (
+        F.when(form == "ipv4", octet(3) * 256 + octet(4)).when(is_date, F.floor(nth / width)).when(form == "ssn", part(6, 4) - 1)
+        .when(form == "nanp", (second - second_0) * 100 + tail % 100).when(form.isin("card", "phone"), right)
+    )
+    a = F.when(form == "ipv4", F.lit(65536)).when(is_date, width).when(form == "ssn", SSN_A).when(form == "nanp", first_n * 100).otherwise(_pow10(k))
+    b = F.when(form == "ipv4", F.lit(65536)).when(is_date, F.when(early, EARLY_B).otherwise(LATE_B)).when(form == "ssn", SSN_B).when(form == "nanp", second_n * 100).otherwise(_pow10(n - k))
+    domain = F.when(early, "early").when(is_date, "late").when(form.isin("card", "phone"), F.concat_ws(":", form, n.cast("string"))).otherwise(form)
+    return F.struct(
+        x["m"].alias("m"), form.alias("form"), x["kind"].alias("kind"), d.alias("digits"), k.alias("k"), n.alias("n"), domain.alias("domain"),
+        l.cast("long").alias("l"), a.cast("long").alias("a"), r.cast("long").alias("r"), b.cast("long").alias("b"),
+        first_0.cast("long").alias("first_0"), second_0.cast("long").alias("second_0"),
+    )
 
 
-def _feistel(x: Column, key: str) -> Column:
-    """struct(l, r) after ROUNDS alternating additions of keyed digests."""
+def _rounds(domain: Column, l: Column, a: Column, r: Column, b: Column, key: str, end: Callable[[Column], Column] | None = None) -> Column:  # noqa: E741
+    """struct(l, r) after ROUNDS alternating additions of keyed digests, and what `end` makes of it."""
 
     def word(i: Column, v: Column) -> Column:
-        return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), x["form"], x["n"].cast("string"), i.cast("string"), v.cast("string")), 256), 1, 15), 16, 10).cast("long")
+        return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), domain, i.cast("string"), v.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
     def step(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
         return F.struct(
-            F.when(even, F.pmod(acc["l"] + F.pmod(word(i, acc["r"]), x["a"]), x["a"])).otherwise(acc["l"]).alias("l"),
-            F.when(even, acc["r"]).otherwise(F.pmod(acc["r"] + F.pmod(word(i, acc["l"]), x["b"]), x["b"])).alias("r"),
+            F.when(even, F.pmod(acc["l"] + F.pmod(word(i, acc["r"]), a), a)).otherwise(acc["l"]).alias("l"),
+            F.when(even, acc["r"]).otherwise(F.pmod(acc["r"] + F.pmod(word(i, acc["l"]), b), b)).alias("r"),
         )
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), F.struct(x["l"].alias("l"), x["r"].alias("r")), step)
+    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), F.struct(l.alias("l"), r.alias("r")), step, end)
+
+
+def _feistel(x: Column, key: str) -> Column:
+    """struct(l, r) of the permuted value. The one point of the late days that is no day walks on once, so the rest stays a permutation."""
+    far = lambda v: F.lit(v).cast("long")
+    on = _rounds(F.lit("late"), far(LATE % LATE_A), far(LATE_A), far(LATE // LATE_A), far(LATE_B), key)
+    walk = lambda acc: F.when((x["domain"] == "late") & (acc["l"] + acc["r"] * LATE_A == LATE), on).otherwise(acc)
+    return _rounds(x["domain"], x["l"], x["a"], x["r"], x["b"], key, walk)
 
 
 def _refill(m: Column, digits: Column) -> Column:
@@ -159,18 +226,31 @@ def _refill(m: Column, digits: Column) -> Column:
     return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda acc: acc["out"])
 
 
+def _date_of(x: Column, l: Column, r: Column) -> Column:  # noqa: E741
+    """The date of a point of the early or late days."""
+    origin = F.lit(FIRST_DAY).cast("date")
+    early = x["domain"] == "early"
+    nth = F.coalesce(F.when(x["domain"].isin("early", "late"), l + r * F.when(early, EARLY_A).otherwise(LATE_A)), F.lit(0)).cast("int")
+    before = lambda m: F.datediff(F.add_months(origin, m), origin) - 12 * m  # noqa: E731 - late days before a month
+    near = F.floor(nth * MONTHS / LATE).cast("int")
+    month = F.when(early, F.floor(nth / 12).cast("int")).otherwise(
+        F.array_max(F.filter(F.sequence(F.greatest(near - 3, F.lit(0)), F.least(near + 3, F.lit(MONTHS - 1))), lambda m: before(m) <= nth))
+    )
+    return F.date_add(F.add_months(origin, month), F.when(early, nth % 12).otherwise(12 + nth - before(month)))
+
+
 def _render(x: Column, p: Column, key: str) -> Column:
     form, m, d = x["form"], x["m"], x["digits"]
     l, r = p["l"], p["r"]  # noqa: E741
     pad = lambda v, n: F.lpad(v.cast("string"), n, "0")
-    ip = F.concat_ws(".", F.floor(l / 256).cast("string"), (l % 256).cast("string"), F.floor(r / 256).cast("string"), (r % 256).cast("string"))
-    date = F.date_add(F.lit(FIRST_DAY).cast("date"), F.coalesce(l + r * DAYS_A, F.lit(0)).cast("int"))
+    octets = F.transform(F.array(F.floor(l / 256), l % 256, F.floor(r / 256), r % 256), lambda v: v.cast("string"))
+    ip = F.array_join(F.zip_with(F.split(m, r"\."), octets, lambda o, v: F.when(F.startswith(o, F.lit("0")), F.lpad(v, F.greatest(F.length(o), F.length(v)), F.lit("0"))).otherwise(v)), ".")
+    date = _date_of(x, l, r)
     y, mo, da = pad(F.year(date), 4), pad(F.month(date), 2), pad(F.day(date), 2)
     new_date = F.when(form == "ymd", F.concat(y, mo, da)).when(form == "dmy", F.concat(da, mo, y)).otherwise(F.concat(mo, da, y))
     area = F.floor(l / 99) + 1
     ssn = F.concat(pad(area + F.when(area >= 666, 1).otherwise(0), 3), pad(l % 99 + 1, 2), pad(r + 1, 4))
-    three = lambda v: F.concat((F.floor(v / 10000) + 2).cast("string"), pad(F.floor(v / 100) % 100, 2))
-    nanp = F.concat(F.substr(d, F.lit(1), F.length(d) - 10), three(l), three(r), pad(l % 100, 2), pad(r % 100, 2))
+    nanp = F.concat(F.substr(d, F.lit(1), F.length(d) - 10), pad(F.floor(l / 100) + x["first_0"], 3), pad(F.floor(r / 100) + x["second_0"], 3), pad(l % 100, 2), pad(r % 100, 2))
     plain = F.concat(F.lpad(l.cast("string"), x["k"], "0"), F.lpad(r.cast("string"), x["n"] - x["k"], "0"))
     card = F.concat(plain, F.pmod(-_luhn_sum(plain, 1), F.lit(10)).cast("string"))
     digest = _digest(key, m)
@@ -181,51 +261,62 @@ def _render(x: Column, p: Column, key: str) -> Column:
         F.when(form == "email", F.concat(F.lit("u"), F.substring(digest, 1, 16), F.lit("@mail.invalid")))
         .when(form == "key", F.concat(F.lit("AKIA"), shape)).when(form == "secret", secret).when(form == "ipv4", ip)
         .when(x["kind"] == "date", _refill(m, new_date)).when(form == "ssn", _refill(m, ssn)).when(form == "nanp", _refill(m, nanp))
-        .when(form == "card", _refill(m, card)).when(form == "phone", _refill(m, plain)).otherwise(m)
+        .when(form == "card", _refill(m, card)).when(form == "phone", _refill(m, F.concat(F.substr(d, F.lit(1), F.lit(1)), plain))).otherwise(m)
     )
 
 
 def pseudonyms(found: Column, key: str) -> Column:
     """array<struct<m, kind, pseudonym>> of an array of matches of PATTERN."""
-    parts = F.transform(F.transform(found, _classify), _split)
+    parts = F.transform(F.transform(found, lambda m: _classify(F.regexp_replace(m, _ANY, ""))), _split)
     both = F.transform(parts, lambda x: F.struct(x.alias("x"), F.when(x["l"].isNotNull() & x["r"].isNotNull(), _feistel(x, key)).alias("p")))
     return F.transform(both, lambda z: F.struct(z["x"]["m"].alias("m"), z["x"]["kind"].alias("kind"), _render(z["x"], z["p"], key).alias("pseudonym")))
 
 
-def _pattern(text: Column) -> Column:
-    """PATTERN; where the text holds valid cards in a usual grouping, these go before free runs, which must not run over their starts.
+def _marks(text: Column) -> Column:
+    """The text with a mark before each valid card in a usual grouping; marks that it held before are followed by _OWN.
 
-    A pattern has no Luhn sum, so the cards of a text are named in its own: of
+    A pattern has no Luhn sum, so valid cards are marked first: of
     '1234 4111 1111 1111 1111 12/29' no grouping alone tells where the card is.
     """
-    grouped = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (_LONG_GROUPS, _GROUPS)])
-    valid = F.array_distinct(F.filter(grouped, lambda m: _luhn_sum(F.regexp_replace(m, r"[ -]", ""), 0) % 10 == 0))
-    cards = F.concat(F.lit("(?:"), F.array_join(valid, "|"), F.lit(r")(?!\d)"))
-    own = F.concat(F.lit(_HEAD + r"(?=\d)"), cards, F.lit(r"|(?![\d -]{0,37}(?<![A-Za-z0-9_])"), cards, F.lit(")" + _TAIL))
-    return F.when(F.size(valid) > 0, own).otherwise(F.lit(PATTERN))
+    text = F.when(text.rlike(_ANY), F.regexp_replace(text, f"({_ANY})", f"$1{_OWN}")).otherwise(text)
+    long, other = (F.regexp_extract_all(text, F.lit(_STARTS), F.lit(k)) for k in (1, 2))
+    valid = lambda m: (m != "") & (_luhn_sum(F.regexp_replace(m, r"[ -]", ""), 0) % 10 == 0)
+    mark = F.zip_with(long, other, lambda a, b: F.when(valid(a), F.lit(_MARK_LONG)).when(valid(b), F.lit(_MARK)).otherwise(F.lit("")))
+    # One more piece than starts, as a blank goes before: each but the first begins at a start.
+    pieces = F.split(F.concat(F.lit(" "), text), _STARTS, -1)
+    whole = F.array_join(F.zip_with(F.concat(F.array(F.lit("")), mark), pieces, lambda a, b: F.concat(a, b)), "")
+    return F.when(text.rlike(_STARTS), F.substr(whole, F.lit(2))).otherwise(text)
 
 
-def _made(text: Column, key: str) -> Column:
-    found = F.regexp_extract_all(text, _pattern(text), F.lit(0))
+def _made(found: Column, key: str) -> Column:
     none = F.array().cast("array<struct<m:string,kind:string,pseudonym:string>>")
     return F.when(F.size(found) > 0, pseudonyms(found, key)).otherwise(none)
 
 
-def _rebuilt(text: Column, made: Column) -> Column:
-    gaps = F.split(text, _pattern(text), -1)
+def _rebuilt(text: Column, marked: Column, made: Column) -> Column:
+    gaps = F.split(marked, PATTERN, -1)
     whole = F.array_join(F.zip_with(gaps, made, lambda g, x: F.concat(g, F.coalesce(x["pseudonym"], F.lit("")))), "")
+    whole = F.when(text.rlike(_ANY), F.regexp_replace(whole, f"({_ANY}){_OWN}", "$1")).otherwise(whole)
     return F.when(F.size(made) > 0, whole).otherwise(text)
 
 
-def replace_in(docs: DataFrame, key: str = "test key", text: str = "text") -> DataFrame:
+def _with_values(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs, _marked_ and _made_; each is a projection of its own, so that nothing is evaluated twice."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    rows = docs.withColumn("_marked_", _marks(F.col(text)))
+    rows = rows.withColumn("_found_", F.regexp_extract_all(F.col("_marked_"), F.lit(PATTERN), F.lit(0)))
+    return rows.withColumn("_made_", _made(F.col("_found_"), key)).drop("_found_")
+
+
+def replace_in(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with pseudonyms in its text column; all columns stay in place."""
-    rows = docs.withColumn("_pii_made_", _made(F.col(text), key))
-    return rows.withColumn(text, _rebuilt(F.col(text), F.col("_pii_made_"))).select(*docs.columns)
+    return _with_values(docs, key, text).withColumn(text, _rebuilt(F.col(text), F.col("_marked_"), F.col("_made_"))).select(*docs.columns)
 
 
-def pseudonymise(docs: DataFrame, key: str = "test key", text: str = "text", keep: tuple[str, ...] = ("doc_id",), values: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), values: bool = False) -> DataFrame:
     """keep columns, the text with pseudonyms, n_values, and n_<kind> for each kind; with the values themselves on request."""
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text_"), _made(F.col(text), key).alias("_made_"))
+    rows = _with_values(docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text_")), key, "_text_")
     count = lambda k: F.size(F.filter(F.col("_made_"), lambda x: x["kind"] == k)).cast("long")
-    out = [_rebuilt(F.col("_text_"), F.col("_made_")).alias("text"), F.size(F.filter(F.col("_made_"), lambda x: x["kind"].isNotNull())).cast("long").alias("n_values")]
+    out = [_rebuilt(F.col("_text_"), F.col("_marked_"), F.col("_made_")).alias("text"), F.size(F.filter(F.col("_made_"), lambda x: x["kind"].isNotNull())).cast("long").alias("n_values")]
     return rows.select(*keep, *out, *[count(k).alias(f"n_{k}") for k in KINDS], *([F.col("_made_").alias("values")] if values else []))

@@ -12,6 +12,8 @@ from . import quality_rules as rules
 
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Key of the registered queries where the session sets none (pii.KEY_CONF). It is public: whoever reads it can undo their pseudonyms.
+DEMO_KEY = "published demonstration key"
 
 
 def tokenizer(name: str = TOKENIZER) -> str:
@@ -67,8 +69,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
 
 
+def pii_key(spark: SparkSession) -> str:
+    return pii.key_of(spark, DEMO_KEY)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
