@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the new text."""
-    new = pii.replace_in(docs)
+    new = pii.replace_in(docs, queries.pii_key(spark))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.char_length("text"), F.col("n_chars"))).cast(docs.schema["n_chars"].dataType))
     return new
