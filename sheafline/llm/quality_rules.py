@@ -5,7 +5,10 @@ Then zstandard ratios, taken over the whole document and over fixed chunks of
 it, must lie in a band that depends on the length: text that compresses far
 better than prose of its length is repetitive, text that hardly compresses is
 noise.  Short texts hold too little context for a ratio, so bands widen as
-texts get shorter and nothing is judged below `LENGTH_BANDS[0]`.
+texts get shorter; below `LENGTH_BANDS[0]` bytes the frame of the packed text
+outweighs its content and only the base counts decide.  Every byte is judged:
+the last chunk, which may be short, has the limits of its own length, and chunks
+count by their bytes.
 
 Cases: null text counts as empty (no words, base_failed); repeated rows are
 judged row by row; an empty table gives an empty table; other columns of the
@@ -28,16 +31,16 @@ CHUNK = 4096
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: Limits by length: from so many bytes on, the compressed share of the whole text must lie in [low, high].
-LENGTH_BANDS = (256, 1024, 4096, 16384)
-WHOLE_LOW = (0.32, 0.30, 0.28, 0.25)
-WHOLE_HIGH = (0.95, 0.80, 0.70, 0.66)
-#: The same for each full chunk of CHUNK bytes; a document goes if more than CHUNK_SHARE of its chunks lie outside.
-CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 0.26, 0.74, 0.34
+#: Limits by length: from so many bytes on, the compressed share of a whole text or of a last, short chunk must lie in [low, high].
+LENGTH_BANDS = (64, 128, 256, 512, 1024, 2048, 4096, 16384)
+LOW = (0.45, 0.38, 0.32, 0.32, 0.30, 0.30, 0.28, 0.25)
+HIGH = (1.15, 0.95, 0.82, 0.76, 0.72, 0.70, 0.70, 0.66)
+#: Limits of a full chunk of CHUNK bytes; a document goes if more than CHUNK_SHARE of its bytes lie in chunks outside on one side.
+CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 0.26, 0.70, 0.34
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, n_bytes long, whole_ratio double, n_chunks long, n_low_chunks long, n_high_chunks long, reason string"
+    "kept boolean, n_bytes long, whole_ratio double, n_chunks long, n_low_bytes long, n_high_bytes long, reason string"
 )
 _SYMBOLS = b"#*$%&|<>"
 
@@ -93,6 +96,12 @@ def base_counts(col: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def limits(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest compressed share of texts of these sizes."""
+    band = np.searchsorted(LENGTH_BANDS, size, "right")
+    return np.array((0.0, *LOW))[band], np.array((np.inf, *HIGH))[band]
+
+
 def judge(col: pa.Array, packer: zstandard.ZstdCompressor | None = None) -> dict[str, np.ndarray | pa.Array]:
     packer = packer or zstandard.ZstdCompressor(level=LEVEL)
     out = base_counts(col)
@@ -100,25 +109,28 @@ def judge(col: pa.Array, packer: zstandard.ZstdCompressor | None = None) -> dict
     whole, n = raw.tobytes(), len(off) - 1
     size = np.diff(off)
     base = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-    ratio, chunks, low, high = np.ones(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    ratio, low, high = np.ones(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    lows, highs = limits(size)
     for i in range(n):
         if not size[i]:
             continue
         part = whole[off[i] : off[i + 1]]
         ratio[i] = len(packer.compress(part)) / len(part)
-        for a in range(0, len(part) - CHUNK + 1, CHUNK):
-            r = len(packer.compress(part[a : a + CHUNK])) / CHUNK
-            chunks[i] += 1
-            low[i] += r < CHUNK_LOW
-            high[i] += r > CHUNK_HIGH
-    band = np.searchsorted(LENGTH_BANDS, size, "right") - 1
-    lows, highs = np.array((0.0, *WHOLE_LOW))[band + 1], np.array((9.9, *WHOLE_HIGH))[band + 1]
+        for a in range(0, len(part), CHUNK):
+            chunk = part[a : a + CHUNK]
+            if len(chunk) == CHUNK:
+                least, most = CHUNK_LOW, CHUNK_HIGH
+            else:
+                least, most = (float(v[0]) for v in limits(np.array([len(chunk)])))
+            r = ratio[i] if len(chunk) == len(part) else len(packer.compress(chunk)) / len(chunk)
+            low[i] += len(chunk) * (r < least)
+            high[i] += len(chunk) * (r > most)
     reasons = [
         ("base", base),
         ("repetitive", ratio < lows),
         ("incompressible", ratio > highs),
-        ("repetitive_chunks", low > CHUNK_SHARE * np.maximum(chunks, 1)),
-        ("incompressible_chunks", high > CHUNK_SHARE * np.maximum(chunks, 1)),
+        ("repetitive_chunks", low > CHUNK_SHARE * size),
+        ("incompressible_chunks", high > CHUNK_SHARE * size),
     ]
     why = np.full(n, None, object)
     for name, hit in reversed(reasons):
@@ -128,9 +140,9 @@ def judge(col: pa.Array, packer: zstandard.ZstdCompressor | None = None) -> dict
         "kept": np.array([x is None for x in why], bool),
         "n_bytes": size,
         "whole_ratio": ratio,
-        "n_chunks": chunks,
-        "n_low_chunks": low,
-        "n_high_chunks": high,
+        "n_chunks": -(-size // CHUNK),
+        "n_low_bytes": low,
+        "n_high_bytes": high,
         "reason": pa.array(why, pa.string()),
     }
 

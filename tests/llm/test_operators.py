@@ -225,6 +225,47 @@ def plain_counts(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(hit)
 
 
+def plain_verdict(text):
+    """(bytes in chunks that pack too well, in chunks that hardly pack, reason), from the limits as they are written."""
+    q, b = quality_rules, (text or "").encode()
+    n_words, *_, repeats = plain_counts(text)
+
+    def outside(part, full):
+        if full:
+            least, most = q.CHUNK_LOW, q.CHUNK_HIGH
+        else:
+            least, most = next(((q.LOW[k], q.HIGH[k]) for k in reversed(range(len(q.LENGTH_BANDS))) if len(part) >= q.LENGTH_BANDS[k]), (0, 99))
+        r = len(zstandard.ZstdCompressor(level=q.LEVEL).compress(part)) / len(part)
+        return r < least, r > most
+
+    low = high = 0
+    for a in range(0, len(b), 4096):
+        x, y = outside(b[a : a + 4096], a + 4096 <= len(b))
+        low, high = low + x * len(b[a : a + 4096]), high + y * len(b[a : a + 4096])
+    whole = outside(b, False) if b else (False, False)
+    hits = [n_words < 20 or 100 * repeats > 30 * n_words, whole[0], whole[1], low > 0.34 * len(b), high > 0.34 * len(b)]
+    names = ["base", "repetitive", "incompressible", "repetitive_chunks", "incompressible_chunks"]
+    return low, high, next((x for x, hit in zip(names, hits, strict=True) if hit), None)
+
+
+def test_every_byte_is_judged(spark):
+    rng = random.Random(2)
+    noise = lambda n: "".join(" " if i % 7 == 6 else rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for i in range(n))
+    letters = "eeeettaaooiinnsshhrrddlluucm"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 8)))
+    some = [word() for _ in range(700)]
+    text = lambda n: " ".join(rng.choice(some) for _ in range(n))[:n]
+    texts = [text(n) for n in (63, 64, 130, 300, 700, 1500, 3000, 4095, 4096, 4097, 9000, 30_000)] + [noise(n) for n in (130, 300, 700, 1500, 3000, 4096, 9000)]
+    texts += [text(4096) + noise(3878), noise(4096) + text(4096), text(12_000) + noise(2000), text(4096) + " same line" * 390, text(8192) + "é" * 50, *ODD]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_low_bytes, r.n_high_bytes, r.reason) == plain_verdict(t), t[:50]
+        assert r.kept == (plain_verdict(t)[2] is None) and r.n_chunks == -(-len((t or "").encode()) // 4096)
+    assert [got[i].kept for i in range(12)] == [False, False] + [True] * 10
+    assert not any(got[i].kept for i in range(13, 19)) and not got[19].kept and not got[20].kept and got[21].kept
+
+
 def test_quality_rules(spark):
     noise = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=9000))
     texts = [*ODD, "echo " * 500, " ".join(noise[i : i + 9] for i in range(0, 9000, 9))]
