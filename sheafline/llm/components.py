@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, drop
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,30 +14,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round every vertex with a smaller neighbour hooks to the least of
     them; chains are shortened by doubling; edges are contracted to the new
     roots.  A hub costs a partial aggregate per task, never a collected list.
-    Nulls and loops are no edges; no edges give no rows.
+    Nulls and loops are no edges; no edges give no rows.  The result is a cut
+    table; those of the steps are deleted.
     """
-    e = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    e = cut(e)
-    labels: DataFrame | None = None
+    e = cut(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    labels = cut(e.limit(0).select(F.col("hi").alias("id"), F.col("lo").alias("component")))
     while not e.isEmpty():
-        parent = cut(e.groupBy("hi").agg(F.min("lo").alias("p")))
+        parent = cut(e.groupBy("hi").agg(F.min("lo").alias("p"), F.lit(False).alias("moved")))
         while True:
             up = parent.select(F.col("hi").alias("_u_"), F.col("p").alias("_v_"))
-            jump = parent.join(up, F.col("p") == F.col("_u_"), "left").select("hi", F.coalesce("_v_", "p").alias("p"), F.col("_v_").isNotNull().alias("moved"))
-            jump = cut(jump)
-            parent = jump.select("hi", "p")
+            jump = cut(parent.join(up, F.col("p") == F.col("_u_"), "left").select("hi", F.coalesce("_v_", "p").alias("p"), F.col("_v_").isNotNull().alias("moved")))
+            drop(parent)
+            parent = jump
             if jump.filter("moved").isEmpty():
                 break
         step = parent.select(F.col("hi").alias("_u_"), F.col("p").alias("_v_"))
-        e = e.join(step, F.col("hi") == F.col("_u_"), "left").select(F.coalesce("_v_", "hi").alias("x"), "lo")
-        e = e.join(step, F.col("lo") == F.col("_u_"), "left").select("x", F.coalesce("_v_", "lo").alias("y")).filter("x != y")
-        e = cut(e.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
-        new = parent.select(F.col("hi").alias("id"), F.col("p").alias("component"))
-        if labels is None:
-            labels = new
-        else:
-            moved = labels.join(step, F.col("component") == F.col("_u_"), "left").select("id", F.coalesce("_v_", "component").alias("component"))
-            labels = cut(moved.unionByName(new))
-    if labels is None:
-        labels = e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+        moved = e.join(step, F.col("hi") == F.col("_u_"), "left").select(F.coalesce("_v_", "hi").alias("x"), "lo")
+        moved = moved.join(step, F.col("lo") == F.col("_u_"), "left").select("x", F.coalesce("_v_", "lo").alias("y")).filter("x != y")
+        rest = cut(moved.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
+        old = labels.join(step, F.col("component") == F.col("_u_"), "left").select("id", F.coalesce("_v_", "component").alias("component"))
+        new = cut(old.unionByName(parent.select(F.col("hi").alias("id"), F.col("p").alias("component"))))
+        drop(e, parent, labels)
+        e, labels = rest, new
+    drop(e)
     return labels

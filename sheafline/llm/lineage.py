@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only where none is set (tests on one machine)."""
+    """The shared folder of the session (spark.checkpoint.dir); a folder of our own only where none is set and one machine does all."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(path)
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
@@ -22,6 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes what `cut` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        if df is not None:
+            file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            if file.isDefined():
+                remove(df.sparkSession, file.get())
+
+
 def new_folder(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     return f"{_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"

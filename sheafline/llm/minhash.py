@@ -7,24 +7,29 @@ shingles needs about (t log t) / n rounds, and equal coordinates estimate the
 Jaccard similarity with concentration bounds.  `bands` keys of `rows`
 coordinates each are the buckets in which candidates meet.
 
-Equal shingle sets are one class.  Within a bucket, classes are compared with
+Equal shingle sets are one class, known by a hash of its row with the least
+doc_id and that row's text.  Within a bucket, classes are compared with
 pivots, not all with all: first with the least class of the bucket, then with
 four random ones.  A class already in the pivot's component needs
 no comparison, a pivot is done with its bucket, and a bucket of one component
 is done as a whole; so the groups of near copies that make buckets large leave
 after a few turns.  The last turn takes all classes that are left as pivots.
+The classes of a bucket are dealt into parts of about PART, each of which meets
+all its pivots, so a hot bucket is spread over as many tasks.
 The join that makes pairs bounds their similarity from above by set sizes and
 1024 parity bits of either set, which loses no link, so families of documents
 just below the threshold don't become pairs.
-Every comparison counts shingles of the full texts.  So each pair that
-shares a bucket is either compared or known to be connected, and components
-lose nothing; a pair at the threshold shares a bucket with probability
-1 - (1 - 0.8^rows)^bands, 0.99994 with the defaults.
+Every comparison counts shingles of the full texts, as 64-bit hashes.  So each
+pair that shares a bucket is either compared or known to be connected, and
+components lose nothing; a pair at the threshold shares a bucket with
+probability 1 - (1 - 0.8^rows)^bands, 0.99994 with the defaults.
 
 Cases: null texts and texts without words have an empty set, link with nothing
 and are kept; a null doc_id links with nothing and has no component; rows that
-share a doc_id are one vertex; an empty table gives an empty table; very long
-texts only cost their own length; other columns of the input are not read.
+share a doc_id but not a text are vertices of their own, each in the component of
+its text, and none is lost by `keep_one`; rows equal in both are one vertex; an
+empty table gives an empty table; very long texts only cost their own length;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +38,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .lineage import cut, new_folder, remove
+from .lineage import cut, drop, new_folder, remove
 
 BANDS, ROWS = 32, 6
 SHINGLE = 5
@@ -46,6 +51,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Pivots of each bucket in each turn, on average; the first turn takes the least class, None takes all that are left.
 PIVOTS = (1, 4, None)
+#: Classes of a bucket in a part, about.
+PART = 1024
 #: Parity bits of a set.
 BITS = 1024
 #: Bit tables of 32768 bits that preselect the texts of candidates.
@@ -126,8 +133,13 @@ def _lists(rows: np.ndarray, keep: np.ndarray) -> pa.Array:
     return lists.take(pa.array(np.arange(n), mask=~keep))
 
 
+def _row(doc_id: Column, text: Column) -> Column:
+    """A hash of id and text that stands for a row; null without an id."""
+    return F.when(doc_id.isNotNull(), F.xxhash64(doc_id, F.xxhash64(text)))
+
+
 def sketches(docs: DataFrame, size: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (f, g), its band keys and parity bits (null: empty set)."""
+    """doc_id, row, n_shingles, a 128-bit fingerprint of the set (f, g), its band keys and parity bits (null: empty set)."""
 
     def run(col: pa.Array) -> dict:
         s, first = shingles(col, size)
@@ -137,8 +149,9 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int, doc_id: str, tex
         g = tx.run_sums(tx.mix64(s ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64), first)
         return {"n_shingles": n.astype(np.int64), "f": f, "g": g, "bands": _lists(keys, n > 0), "bits": _lists(parities(s, first), n > 0)}
 
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return tx.map_texts(ids, "text", ["doc_id"], "n_shingles long, f long, g long, bands array<long>, bits array<long>", run)
+    body = F.col(text).cast("string")
+    ids = docs.select(F.col(doc_id).alias("doc_id"), _row(F.col(doc_id), body).alias("row"), body.alias("text"))
+    return tx.map_texts(ids, "text", ["doc_id", "row"], "n_shingles long, f long, g long, bands array<long>, bits array<long>", run)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -175,7 +188,7 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     so that other texts never leave their scan.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * 32768))
-    slot = ids.select(place(F.col("cid")).alias("h"))
+    slot = ids.select(place(F.col("v")).alias("h"))
     table = slot.select(F.floor(F.col("h") / 32768).alias("_slot_"), F.bitmap_bit_position(F.col("h") % 32768 + 1).alias("p")).groupBy("_slot_").agg(F.bitmap_construct_agg("p").alias("_bits_"))
     h = place(F.col("_id_"))
     found = docs.withColumn("_h_", h).join(F.broadcast(table), F.floor(F.col("_h_") / 32768) == F.col("_slot_"))
@@ -183,72 +196,92 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.filter(F.expr("1") == F.getbit(byte, (F.col("_h_") % 8).cast("int"))).drop("_h_", "_slot_", "_bits_")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; see the module's text."""
+def _linked(docs: DataFrame, size: int, percent: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, row, n_shingles, component_id (null without an id) and first (does the row stand for its component?) of every row; a cut table."""
     spark = docs.sparkSession
     sk = cut(sketches(docs, size, bands, rows, doc_id, text))
     full = sk.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # Aggregates are cut before they are joined back: a join of two plain shuffles can split a hot class or bucket.
-    classes = cut(full.groupBy("f", "g").agg(F.min("doc_id").alias("cid")))
-    # Rows of a class's least id carry its bands into the buckets; a bucket of one class is of no use.
-    reps = full.join(classes.withColumnRenamed("cid", "doc_id"), ["f", "g", "doc_id"], "left_semi").dropDuplicates(["doc_id", "f", "g"])
-    dealt = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"))
-    many = cut(dealt.groupBy("bucket").agg(F.min("cid").alias("least"), F.max("cid").alias("c1")).filter("least < c1").select("bucket", "least"))
-    met = cut(dealt.join(many, "bucket").withColumn("c", F.col("cid")))
-    texts = docs.select(F.col(doc_id).alias("_id_"), F.col(text).cast("string").alias("_t_"))
-    _among(texts, met.select("cid").distinct()).write.parquet(path := new_folder(spark))
+    classes = cut(full.groupBy("f", "g").agg(F.min("doc_id").alias("cid"), F.min_by("row", "doc_id").alias("v")))
+    # One row of each class carries its bands into the buckets; a bucket of one class is of no use.
+    reps = full.join(classes.select(F.col("v").alias("row")), "row", "left_semi").dropDuplicates(["row"])
+    reps = cut(reps.select(F.col("row").alias("v"), F.col("n_shingles").alias("n"), "bands", "bits"))
+    dealt = reps.select(F.explode("bands").alias("bucket"), "v", "n")
+    many = cut(dealt.groupBy("bucket").agg(F.min("v").alias("least"), F.max("v").alias("v1"), F.count("*").alias("size")).filter("least < v1").drop("v1"))
+    met = cut(dealt.join(many, "bucket").withColumn("c", F.col("v")))
+    drop(many)
+    body = F.col(text).cast("string")
+    texts = _among(docs.select(_row(F.col(doc_id), body).alias("_id_"), body.alias("_t_")).filter("_id_ is not null"), met.select("v").distinct())
+    twice = cut(full.groupBy("row").agg(F.count("*").alias("k")).filter("k > 1").select("row"))
+    if not twice.isEmpty():  # equal rows give one text
+        on = F.col("_id_") == F.col("row")
+        texts = texts.join(twice, on, "left_anti").unionByName(texts.join(twice, on, "left_semi").dropDuplicates(["_id_"]))
+    texts.write.parquet(path := new_folder(spark))
     texts = spark.read.schema(texts.schema).parquet(path)
+    drop(twice)
 
-    bits = full.join(classes.withColumnRenamed("cid", "doc_id"), ["f", "g", "doc_id"], "left_semi").select(F.col("doc_id").alias("cid"), "bits").dropDuplicates(["cid"])
     # At most (n + m - h) / 2 shingles are shared if h parity bits differ: pairs that can't reach the threshold are never made.
     differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other")[i])) for i in range(BITS // 64)), F.lit(0))
     both = F.col("n") + F.col("m")
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent) & (100 * (both - differ) >= percent * (both + differ))
-    labels: DataFrame | None = None
+    labels = cut(classes.limit(0).select(F.col("v").alias("id"), F.col("v").alias("component")))
     for turn, k in enumerate(PIVOTS):
         if met.isEmpty():
             break
         if turn == 0:  # every class with the least of its bucket, which the bucket's row has brought along
-            pairs = met.filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"), F.col("cid").alias("ca"), F.col("least").alias("cb"))
-            chosen = met.join(bits, "cid").withColumn("pivot", F.col("cid") == F.col("least")).drop("least")
+            pairs = met.filter("v <> least").select(F.col("v").alias("a"), F.col("least").alias("b"), F.col("v").alias("ca"), F.col("least").alias("cb"))
+            chosen = met.join(reps.select("v", "bits"), "v").withColumn("pivot", F.col("v") == F.col("least")).drop("least")
         else:
-            if k:
-                some = met.groupBy("bucket").agg(F.count("*").alias("_m_"))
-                chance = F.pmod(F.xxhash64("cid", "bucket", F.lit(turn)), F.lit(1 << 30)) * F.col("_m_") < F.lit(k << 30)
-                chosen = met.join(some, "bucket").withColumn("pivot", chance).drop("_m_")
-            else:
-                chosen = met.withColumn("pivot", F.lit(True))
-            p = chosen.filter("pivot").select(F.col("bucket").alias("_b_"), F.col("cid").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("other"))
-            # Two pivots meet twice; the smaller id asks then.
-            asks = (F.col("bucket") == F.col("_b_")) & (F.col("c") != F.col("d")) & near & (~F.col("pivot") | (F.col("cid") > F.col("y")))
-            pairs = chosen.join(p, asks).select(F.greatest("cid", "y").alias("a"), F.least("cid", "y").alias("b"), F.greatest("c", "d").alias("ca"), F.least("c", "d").alias("cb"))
+            chance = F.pmod(F.xxhash64("v", "bucket", F.lit(turn)), F.lit(1 << 30)) * F.col("size") < F.lit((k or 0) << 30)
+            chosen = met.withColumn("pivot", chance if k else F.lit(True))
+            parts = F.ceil(F.col("size") / PART)
+            p = chosen.filter("pivot").select(F.col("bucket").alias("_b_"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_p_"), F.col("v").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("other"))
+            asking = chosen.withColumn("part", F.pmod(F.xxhash64("v"), parts))
+            # Two pivots meet twice; the smaller one asks then.
+            asks = (F.col("bucket") == F.col("_b_")) & (F.col("part") == F.col("_p_")) & (F.col("c") != F.col("d")) & near & (~F.col("pivot") | (F.col("v") > F.col("y")))
+            pairs = asking.join(p, asks).select(F.greatest("v", "y").alias("a"), F.least("v", "y").alias("b"), F.greatest("c", "d").alias("ca"), F.least("c", "d").alias("cb"))
         links = cut(verified(pairs.dropDuplicates(["a", "b"]), texts, size, percent))
-        moves = cut(components(links, "ca", "cb"))
+        moves = components(links, "ca", "cb")
         step = moves.withColumnsRenamed({"id": "_i_", "component": "_c_"})
-        if labels is None:
-            labels = moves
-        else:
-            old = labels.join(step, F.col("component") == F.col("_i_"), "left").select("id", F.coalesce("_c_", "component").alias("component"))
-            labels = cut(old.unionByName(moves))
+        old = labels.join(step, F.col("component") == F.col("_i_"), "left").select("id", F.coalesce("_c_", "component").alias("component"))
+        new = cut(old.unionByName(moves))
         # A pivot is settled with its whole bucket; so is a bucket of one component.
-        now = chosen.filter("not pivot").join(step, F.col("c") == F.col("_i_"), "left").select("bucket", "cid", "n", "bits", F.coalesce("_c_", "c").alias("c"))
-        apart = now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("bucket")
-        met = cut(now.join(cut(apart), "bucket"))
+        now = chosen.filter("not pivot").join(step, F.col("c") == F.col("_i_"), "left").select("bucket", "v", "n", "bits", F.coalesce("_c_", "c").alias("c"))
+        apart = cut(now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).filter("c0 < c1").select("bucket", "size"))
+        rest = cut(now.join(apart, "bucket"))
+        drop(links, moves, labels, apart, met)
+        labels, met = new, rest
+    drop(met, reps)
     remove(spark, path)
-    if labels is None:
-        labels = classes.select(F.col("cid").alias("id"), F.col("cid").alias("component")).limit(0)
 
-    out = sk.join(classes, ["f", "g"], "left").join(labels, F.col("cid") == F.col("id"), "left")
-    alone = F.col("n_shingles") == 0
-    comp = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "cid", "doc_id"))
-    comp = F.when(F.col("doc_id").isNotNull(), comp)
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # The least id of each component of two classes or more, and the class that has it.
+    ends = labels.unionByName(labels.select(F.col("component").alias("id"), "component").distinct())
+    named = classes.join(ends, F.col("v") == F.col("id"))
+    best = cut(named.groupBy("component").agg(F.min("cid").alias("least"), F.min_by("v", "cid").alias("keep")))
+    names = ends.join(best, "component").select(F.col("id").alias("_v_"), "least", "keep")
+    out = sk.select("doc_id", "row", "n_shingles", "f", "g").join(classes, ["f", "g"], "left").join(names, F.col("v") == F.col("_v_"), "left")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    comp = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("least", "cid"))
+    out = cut(out.select("doc_id", "row", "n_shingles", comp.alias("component_id"), (alone | (F.col("row") == F.coalesce("keep", "v"))).alias("first")))
+    drop(sk, classes, labels, best)
+    return out
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (is it the component's least id?) of every row; see the module's text."""
+    out = _linked(docs, size, percent, bands, rows, doc_id, text)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with all its columns; rows without an id stay."""
-    kept = near_duplicates(docs, size, percent, doc_id=doc_id, text=text)
-    gone = kept.filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    again = docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("_n_")).filter("_n_ > 1").select(doc_id)
-    rest = docs.join(gone, doc_id, "left_anti")
-    return rest.join(again, doc_id, "left_anti").unionByName(rest.join(again, doc_id, "left_semi").dropDuplicates([doc_id])).select(*docs.columns)
+    """One document of each group, with all its columns: the one with the least id.
+
+    Rows are told apart by id and text, so a text stays unless a near copy of it
+    does.  Of rows equal in both any one stays; rows without an id or without
+    words all do.
+    """
+    marked = _linked(docs, size, percent, BANDS, ROWS, doc_id, text).filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    gone = marked.filter(~F.col("first")).select(F.col("row").alias("_row_")).distinct()
+    again = marked.filter("first").groupBy(F.col("row").alias("_row_")).agg(F.count("*").alias("_n_")).filter("_n_ > 1").select("_row_")
+    rest = docs.withColumn("_row_", _row(F.col(doc_id), F.col(text).cast("string"))).join(gone, "_row_", "left_anti")
+    return rest.join(again, "_row_", "left_anti").unionByName(rest.join(again, "_row_", "left_semi").dropDuplicates(["_row_"])).select(*docs.columns)

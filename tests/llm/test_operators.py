@@ -185,6 +185,27 @@ def test_minhash_components(spark, size):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_no_text_is_lost_where_ids_repeat(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(base), " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, c), (3, c), (4, a + " more"), (4, "q " + c), (4, "of its own " * 3), (5, None), (5, ""), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in minhash.keep_one(df, size=2).collect()}
+    assert got == {(1, a), (1, b), (3, c), (4, "of its own " * 3), (5, None), (5, ""), (None, a)} and minhash.keep_one(df, size=2).count() == 7
+    comp = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(df, size=2).collect())
+    assert comp == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (4, 1, False), (4, 3, False), (4, 4, True), (5, 5, True), (5, 5, True), (0, 0, True)])
+
+
+def test_hot_bucket_in_parts(spark, monkeypatch):
+    """Families of texts that share buckets but hardly link, in parts of a few classes."""
+    monkeypatch.setattr(minhash, "PART", 7)
+    texts = near_copies(3, 120, 40)
+    rows = list(enumerate(texts))
+    want = plain_components(rows, 2)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(texts)
+
+
 def test_sketch_fills_and_estimates():
     rng = random.Random(5)
     err = []
