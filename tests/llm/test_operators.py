@@ -375,22 +375,54 @@ def test_isotonic_is_the_best_monotone_fit():
 # op5
 
 
-def test_no_link_is_lost_between_cells(spark, monkeypatch):
-    """Few effective dimensions of many: links point across borders more than in round data."""
-    monkeypatch.setattr(embed_dedup, "SMALL", 50)
-    monkeypatch.setattr(embed_dedup, "BLOCK", 400)
+@pytest.mark.parametrize("kind", ["low rank", "clustered", "round"])
+def test_no_link_is_lost_between_cells(spark, kind):
+    """Recall is 1 whatever the data: few effective dimensions of many, where links point across borders; clusters; evenly spread ones with planted links."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(1200, 6)) @ rng.normal(size=(6, 384))
+    if kind == "low rank":
+        x = rng.normal(size=(1200, 6)) @ rng.normal(size=(6, 384))
+    elif kind == "clustered":
+        x = np.repeat(rng.normal(size=(60, 32)), 25, 0) + 0.3 * rng.normal(size=(1500, 32))
+    else:
+        x = rng.normal(size=(1500, 64))
+        x[700:1400] = x[:700] + 0.35 * rng.normal(size=(700, 64))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = (u @ u.T >= 0.93) & ~np.eye(len(x), dtype=bool)
     df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(len(x))], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df).select("vec_id", "n_links").collect()}
-    assert [got[i] for i in range(len(x))] == hit.sum(1).tolist()
-
-
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embed_dedup, "SMALL", 50)
-    monkeypatch.setattr(embed_dedup, "BLOCK", 40)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df, part_bytes=400 * 4 * x.shape[1], block_bytes=100 * 4 * x.shape[1]).select("vec_id", "n_links").collect()}
+    assert [got[i] for i in range(len(x))] == hit.sum(1).tolist() and hit.any()
+
+
+def test_cells_follow_the_data():
+    """Clusters are worth many cells; evenly spread vectors, which are guests nearly everywhere, the least number."""
+    rng = np.random.default_rng(4)
+    many = embed_dedup.unit(np.repeat(rng.normal(size=(200, 64)), 40, 0) + 0.1 * rng.normal(size=(8000, 64)))[0]
+    c, size = embed_dedup.fitted(many, 10**6, 4096, 0.93)
+    assert len(c) >= 64 and size.sum() < 2 * 10**6
+    c, _ = embed_dedup.fitted(embed_dedup.unit(rng.normal(size=(3000, 64)))[0], 3000, 4096, 0.93)
+    assert len(c) >= 2
+    for n in (1, 2, 3, 59):
+        c, size = embed_dedup.fitted(many[:n], n, 4096, 0.93)
+        assert len(c) == 2 and size.sum() >= n - 1e-6
+    assert len(embed_dedup.fitted(many[:0], 5, 4096, 0.93)[0]) == 1
+
+
+def test_copies_cost_no_products(spark):
+    """A third of all vectors is one and the same, some under a repeated id; zero vectors are copies without links."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8))
+    near = (base[0] + 0.05 * rng.normal(size=8)).tolist()
+    rows = [(i, base[0].tolist(), "a") for i in range(100, 400)] + [(i, base[i].tolist(), "a") for i in range(1, 40)] + [(50, near, "a"), (51, near, "a"), (52, base[0].tolist(), "b")]
+    rows += [(i, [0.0] * 8, "a") for i in range(60, 65)] + [(100, base[0].tolist(), "a")] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = embed_dedup.near_vectors(df).collect()
+    by = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
+    assert len(got) == len(rows)
+    assert all(by[i] == (301, 50, False) for i in range(100, 400)) and by[50] == (301, 50, True) and by[51] == (301, 50, False)
+    assert all(by[i] == (0, i, True) for i in [*range(60, 65), 52])
+
+
+def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
     x = np.concatenate([base, base[:30] + 0.12 * rng.normal(size=(30, 16)), np.repeat(base[:1], 90, 0) + 0.05 * rng.normal(size=(90, 16))])
@@ -400,7 +432,7 @@ def test_embeddings(spark, monkeypatch):
     df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as n", "2 as cell")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = (u @ u.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
-    got = {r.vec_id: r for r in embed_dedup.near_vectors(df).collect()}
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(df, part_bytes=50 * 64, block_bytes=40 * 64).collect()}
     assert len(got) == len(rows) + len(odd)
     comp = {1000 - i: 1000 - i for i in range(len(x))}
     for _ in range(len(x)):
