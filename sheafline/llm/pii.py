@@ -68,7 +68,7 @@ _SECRET = r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|token|secret|api
 _LONG_GROUPS = r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}"
 _GROUPS = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}[ -]\d{4}[ -]\d{5}|\d{6}[ -]\d{13}"
 #: Starts of groupings, but for those inside a mail address.
-_STARTS = rf"(?<![A-Za-z0-9_@])(?=({_LONG_GROUPS}(?!\d))?)(?=({_GROUPS})(?!\d))(?![\d-]{{13,23}}[A-Za-z0-9._%+-]{{0,63}}+@[A-Za-z0-9])"
+_STARTS = rf"(?=\d{{4}})(?<![A-Za-z0-9_@])(?=({_LONG_GROUPS}(?!\d))?)(?=({_GROUPS})(?!\d))(?![\d-]{{13,23}}[A-Za-z0-9._%+-]{{0,63}}+@[A-Za-z0-9])"
 
 
 def _marked(groups: str) -> str:
@@ -76,9 +76,10 @@ def _marked(groups: str) -> str:
     return groups.replace("[ -]", f"[ -]{_ANY}?")
 
 
+#: Guards of one character keep most places from trying the alternatives behind them.
 PATTERN = (
-    rf"{_MARK_LONG}{_marked(_LONG_GROUPS)}(?!\d)|{_MARK}(?:{_marked(_GROUPS)})(?!\d)"
-    rf"|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_(+])(?:{_EMAIL}|{_IP}|{_DATE}|{_SSN}|{_CARD}|{_PHONE}|{_SECRET})"
+    rf"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_(+{_MARK_LONG}{_MARK}])(?:{_EMAIL}|(?=[0-9(+])(?:{_IP}|{_DATE}|{_SSN}|{_CARD}|{_PHONE})|(?=[AaPpTtSs])(?:{_SECRET})"
+    rf"|{_MARK_LONG}{_marked(_LONG_GROUPS)}(?!\d)|{_MARK}(?:{_marked(_GROUPS)})(?!\d))"
 )
 
 
