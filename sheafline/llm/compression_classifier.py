@@ -1,7 +1,7 @@
 """Quality by compression against two dictionaries.
 
-One zstandard dictionary holds good, the other bad labelled text of a bounded
-sample.  A text is compressed with each in fixed chunks, so that the dictionary
+One zstandard dictionary holds good, the other bad labelled texts of a bounded
+sample, whole texts of at most DICTIONARY bytes together.  A text is compressed with each in fixed chunks, so that the dictionary
 and not the text's own repeats decides; the difference of the two summed sizes
 over their sum says which it resembles.  A second part of the sample turns that
 number into a probability with an isotonic map.
@@ -74,10 +74,14 @@ class Model:
 
     @staticmethod
     def _dictionary(texts: list[bytes]) -> bytes:
-        """Distinct texts in turn, an equal share from the middle of each, up to DICTIONARY bytes."""
-        texts = list(dict.fromkeys(texts))
-        share = max(64, DICTIONARY // max(1, len(texts)))
-        return b"\n".join(t[max(0, (len(t) - share) // 2) :][:share] for t in texts)[:DICTIONARY]
+        """Distinct whole texts in their order, each that still fits, up to DICTIONARY bytes."""
+        out: list[bytes] = []
+        left = DICTIONARY
+        for t in dict.fromkeys(texts):
+            if len(t) < left:
+                out.append(t)
+                left -= len(t) + 1
+        return b"\n".join(out)
 
     def score(self, col: pa.Array) -> np.ndarray:
         return self.calibrated(difference(col, self.good, self.bad))

@@ -24,7 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     not on the order or layout of the tables.  Texts above `longest` bytes are
     not fitted on (they are scored).  A class weighs as much as it has rows in
     all, so a calibrated score keeps the base rate.  Conflicting labels of one
-    id and null labels are left out.
+    id and null labels are left out; of several texts of one id the least is
+    fitted on.
     """
     marks = labels.filter(F.col(label).isin(0, 1) & ~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.min(label).alias("_y_"), F.max(label).alias("_z_"))
     marks = marks.filter(F.col("_y_") == F.col("_z_")).select("doc_id", "_y_")
@@ -34,7 +35,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     ids = parts[0].unionByName(parts[1])
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     got = docs.select("doc_id", body.alias("_t_")).filter(F.octet_length("_t_") <= longest).join(F.broadcast(ids), "doc_id")
-    got = got.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").toArrow()
+    got = got.groupBy("doc_id").agg(F.min("_t_").alias("_t_"), F.min("_y_").alias("_y_")).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").toArrow()
     y = np.asarray(got["_y_"].to_pylist(), np.int64)
     per = {c: totals.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
     texts = [t.as_buffer().to_pybytes() for t in got["_t_"].combine_chunks()] if got.num_rows else []

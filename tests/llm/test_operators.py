@@ -3,6 +3,7 @@
 import collections
 import datetime
 import hashlib
+import os
 import random
 import re
 import time
@@ -13,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from sheafline.llm import bpe, components, compression_classifier, embed_dedup, learn, licenses, minhash, packing, pii, quality_rules, queries, sharding, toxicity
 from sheafline.llm import text as tx
@@ -351,6 +353,26 @@ def test_compression_classifier_learns(spark):
     assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.97
 
 
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize(("query", "label", "least"), [("op4_toxicity", "toxic", 0.97), ("op6_quality_classifier", "quality", 0.95)])
+def test_held_out_accuracy(spark, query, label, least):
+    marks = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col(label).alias("y")).dropna().dropDuplicates(["doc_id"])
+    got = queries.QUERIES[query](spark, SF).filter("held_out").join(marks, "doc_id").collect()
+    y = np.array([r.y for r in got])
+    assert 0 < y.sum() < len(y) and learn.auc(np.array([r.score for r in got]), y) > least
+
+
+def test_one_text_of_a_repeated_id_is_fitted_on(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (2, "c"), (3, "x" * 40_000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    texts, y, _ = learn.labelled_sample(docs, marks, "toxic", 97, 96)
+    assert sorted(zip(texts, y.tolist(), strict=True)) == [(b"", 0), (b"a", 1)]
+    assert compression_classifier.Model._dictionary([b"one", b"two", b"one"]) == b"one\ntwo"
+
+
 @pytest.mark.parametrize("op", [toxicity, compression_classifier])
 def test_classifiers_odd_tables(spark, op):
     df = table(spark)
@@ -482,6 +504,46 @@ def test_licenses(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def plain_licenses(text):
+    """Templates of which some half-overlapping window holds 0.8 of the shingles, by looking at all of them."""
+    split = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", t).lower().split()
+    words, out = split(text), set()
+    for name, body in licenses.TEMPLATES.items():
+        t = split(body)
+        k = min(5, len(t))
+        want = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+        width = 1 << int(np.ceil(np.log2(2 * (len(t) - k + 1))))
+        half = max(1, width // 2)
+        for a in range(0, len(words), half):  # a window begins with the shingles that start in it
+            have = {tuple(words[i : i + k]) for i in range(a, min(a + width, len(words) - k + 1))}
+            if len(want & have) >= 0.8 * len(want):
+                out.add(name)
+    return out
+
+
+def test_licenses_equal_a_plain_scan(spark):
+    rng = random.Random(9)
+    texts = []
+    for i in range(400):
+        w = prose(rng, rng.randrange(0, 260)).split()
+        for _ in range(i % 3):
+            t = licenses.TEMPLATES[rng.choice(list(licenses.TEMPLATES))].split()
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(len(t))] = "changed"
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = t
+        texts.append(" ".join(w))
+    rows = [*enumerate([*texts, texts[5], LONG + " " + licenses.TEMPLATES["bsd"]]), (None, texts[7]), (3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as best", "2 as matches")
+    got = licenses.scan_licenses(df).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(set(r.licenses))
+    for i, t in rows:
+        assert plain_licenses(t) in by[i], t[:200]
+
+
 def test_license_with_edits():
     w = licenses.TEMPLATES["mit"].split()
     w[30] = "changed"
