@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 WS = r"[ \t\n\x0B\f\r]+"
 #: Minus and dash signs that count as '-' (fixed values): U+2212, U+2013.
 DASHES = "−–"
+#: How the foot of a table begins, and short names of item kinds (fixed values).
+FOOTER = (
+    r"^(Sources?\b|Notes?\b|NOTES?\b|Footnotes?\b|\*\s*(?:=|[A-Za-z])|†|‡|[a-z]\)|\([a-z0-9]{1,2}\)"
+    r"|\d{1,2}/|\d{1,2}\s+[A-Z]|[A-Z]{1,2}\s?=|\(s\)\s?=|-\s?=|–\s?=|Components may not)"
+)
+#: Words after which a label goes on in the next line (fixed values).
+CONNECTORS = "and or of for the to in on by with excluding including from at a an".split()
+ITEM_KINDS = {"tables": "tbl", "texts": "txt", "pictures": "pic", "groups": "grp"}
 
 
 def collapse(c: Column) -> Column:
@@ -53,22 +61,24 @@ def numbers_strict(c: Column) -> Column:
 
 
 def occurs(text: Column, value: Column) -> Column:
-    """Does value stand in text without being part of a longer number?"""
+    """Does value stand in text without being part of a longer number? An empty value never does."""
     quoted = F.regexp_replace(value, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    return F.regexp_like(text, F.concat(F.lit(r"(?<![0-9-])(?<![0-9][.,])"), quoted, F.lit(r"(?![0-9])(?![.,][0-9])")))
+    return F.regexp_like(text, F.concat(F.lit(r"(?<![0-9-])(?<![0-9][.,])"), quoted, F.lit(r"(?![0-9])(?![.,][0-9])"))) & (value != "")
 
 
 def numeric_match(gold: Column, answer: Column) -> Column:
-    """struct(hit, needed_minus): whether the gold number occurs, and whether only after its minus was dropped."""
-    g, a = normalize_numeric(collapse(gold)), normalize_numeric(collapse(answer))
-    direct = occurs(a, g)
-    bare = F.startswith(g, F.lit("-")) & occurs(a, F.substr(g, F.lit(2)))
-    return F.struct((direct | bare).alias("hit"), (~direct & bare).alias("needed_minus"))
+    """struct(hit, needed_minus): whether the gold number occurs, and whether only because dashes were read as minus signs.
+
+    A sign is part of the number: '-5' is not in 'fell by 5'.
+    """
+    g, a = collapse(gold), collapse(answer)
+    hit = occurs(normalize_numeric(a), normalize_numeric(g))
+    return F.struct(hit.alias("hit"), (hit & ~occurs(a, g)).alias("needed_minus"))
 
 
 def contained(phrase: Column, text: Column) -> Column:
     """Case-blind containment with white space collapsed and the number guard."""
-    return occurs(F.lower(collapse(text)), F.lower(F.trim(collapse(phrase))))
+    return occurs(F.lower(collapse(text)), F.lower(collapse(phrase)))
 
 
 def strip_html(html: Column) -> Column:
@@ -109,9 +119,60 @@ def unit_line(c: Column) -> Column:
 
 
 def item_key(c: Column) -> Column:
-    """'#/tables/2' becomes 'tbl-2', other items keep their kind's first three letters."""
-    kind, n = F.split_part(c, F.lit("/"), F.lit(2)), F.split_part(c, F.lit("/"), F.lit(3))
-    return F.concat_ws("-", F.when(kind == "tables", "tbl").otherwise(F.substring(kind, 1, 3)), n)
+    """'#/tables/2' becomes 'tbl-2': the kind's short name and the number, its last two parts; a reference with one part is that part ('item' without any)."""
+    parts = F.filter(F.split(c, "/"), lambda p: ~p.isin("", "#"))
+    kind = F.try_element_at(parts, F.lit(-2))
+    short = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ITEM_KINDS.items() for x in pair]), kind), F.substring(kind, 1, 3))
+    return F.when(F.size(parts) >= 2, F.concat_ws("-", short, F.element_at(parts, -1))).when(F.size(parts) == 1, F.regexp_replace(F.element_at(parts, 1), "^#+|#+$", "")).otherwise("item")
+
+
+def fixed_decimals(c: Column) -> Column:
+    """Replacement characters that stand for a decimal point, between digits or before the first one of a word, become points."""
+    s = F.regexp_replace(c, "(?<=[0-9])�(?=[0-9])", ".")
+    return F.regexp_replace(s, r"(^|\s)(-?)�(?=[0-9])", "$1$2.")
+
+
+def flag_space(c: Column) -> Column:
+    """A revision mark in front of its number gets a space: 'R1,358' becomes 'R 1,358'."""
+    return F.regexp_replace(c, r"(?<![^ ])(RE|R|E)(?=[(-]?[.0-9][0-9,.]*\)?(?![^ ]))", "$1 ")
+
+
+#: English months and their short forms, and Roman quarters (fixed values).
+MONTHS = "january february march april may june july august september october november december".split()
+MONTH_NUMBERS = {m: i for i, m in enumerate(MONTHS, 1)} | {m[:3]: i for i, m in enumerate(MONTHS, 1)} | {"sept": 9}
+ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4}
+
+
+def time_token(c: Column) -> Column:
+    """struct(month, quarter, year) of a word: a month's name, a Roman quarter, a year 1900 to 2099; nulls for anything else."""
+    pick = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    word = F.regexp_replace(c, "[.,:]+$", "")
+    year = F.regexp_extract(word, r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])", 1)
+    return F.struct(pick(MONTH_NUMBERS, F.lower(word)).alias("month"), pick(ROMAN, word).alias("quarter"), F.when(year != "", year.cast("int")).alias("year"))
+
+
+def without_marker(c: Column, marker: str) -> Column:
+    """A text without its delete marker, trimmed; null if nothing is left."""
+    s = F.trim(F.replace(c, F.lit(marker)))
+    return F.when(s != "", s)
+
+
+def fenced_json(c: Column, ddl: str) -> Column:
+    """struct(value, error): a JSON object, in a code fence or not, under a schema; error is null, 'empty', 'not an object' or 'bad fields'."""
+    body = strip_fence(c)
+    bare = F.regexp_like(body, F.lit(r"(?s)^\{.*\}$")) & F.get_json_object(body, "$").isNotNull()
+    value = F.from_json(body, ddl)
+    fields = [f.split()[0] for f in ddl.split(",")]
+    full = F.lit(True)
+    for f in fields:
+        full = full & value[f].isNotNull()
+    error = F.when(F.coalesce(body, F.lit("")) == "", "empty").when(~bare, "not an object").when(~full, "bad fields")
+    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+
+
+def at_least_share(n: Column, least: int, share: int) -> Column:
+    """max(least, ceil(n / share)) in whole numbers."""
+    return F.greatest(F.lit(least).cast("long"), F.floor((n + share - 1) / share).cast("long"))
 
 
 def without_backspace(c: Column) -> Column:
@@ -130,7 +191,14 @@ def rejoined(c: Column) -> Column:
 
 def footer_line(c: Column) -> Column:
     """Does a line begin a table's foot: a source, a note, or a footnote mark?"""
-    return c.rlike(r"^(?i:sources?|notes?)\b[:.]?|^[0-9]{1,2}[/)] ?[A-Z]|^\*")
+    return c.rlike(FOOTER)
+
+
+def continues(label: Column, following: Column) -> Column:
+    """Is a line of text alone the first part of a wrapped label? It ends with an opening sign or a connector, or the next begins in lower case; never after ':'."""
+    last = F.element_at(F.split(F.trim(label), " +"), -1)
+    on = last.rlike("[,\\-(/–]$") | F.lower(last).isin(CONNECTORS) | F.coalesce(following.rlike(r"^\p{Ll}"), F.lit(False))
+    return (F.trim(label) != "") & ~F.endswith(last, F.lit(":")) & on
 
 
 def period(c: Column) -> Column:

@@ -57,6 +57,43 @@ def clopper_pearson(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([exact_interval(int(a), int(b)) for a, b in zip(k, n, strict=True)], columns=["low", "high"])
 
 
+def t_quantile(df: float, level: float = 0.95) -> float:
+    """The two-sided quantile of Student's t: 1 - I(x; df / 2, 1 / 2) = level at x = df / (df + t^2), by bisection of the incomplete beta's continued fraction."""
+    from math import exp, log, log1p
+
+    a, b = df / 2, 0.5
+
+    def beta(x: float) -> float:
+        if x <= 0 or x >= 1:
+            return float(x >= 1)
+        if x > (a + 1) / (a + b + 2):
+            return 1 - fraction(1 - x, b, a)
+        return fraction(x, a, b)
+
+    def fraction(x: float, a: float, b: float) -> float:
+        front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
+        c, d = 1.0, 1.0 / max(1e-300, 1 - (a + b) * x / (a + 1))
+        out = d
+        for m in range(1, 300):
+            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / (1 + top * d)
+                c = 1 + top / c
+                out *= d * c
+            if abs(d * c - 1) < 1e-15:
+                break
+        return front * out
+
+    lo, hi = 0.0, 1e4
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if beta(df / (df + mid * mid)) > 1 - level else (lo, mid)
+    return (lo + hi) / 2
+
+
+#: t quantile of 95 % intervals by degrees of freedom (a column); null without any.
+t95 = F.pandas_udf(lambda df: pd.Series([t_quantile(float(x)) if x > 0 else None for x in df], dtype="float64"), T.DoubleType())
+
+
 def two_sided_mcnemar(b: int, c: int) -> float:
     """Exact two-sided p of discordant counts; 1 without any."""
     n = b + c

@@ -152,7 +152,7 @@ def json_props_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.missing").try_cast("long"), F.lit(0)).cast("long").alias("missing"))
 
 
-@query("attribute_paths", "SELECT 'events.' || event_type || '.' || (row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) - 1) || '.user' AS path, user_id AS value FROM events WHERE user_id <= 20")
+@query("attribute_paths", "SELECT 'events.' || event_type || '.' || (row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) - 1) || '.user' AS path, user_id AS value FROM events")
 def attribute_paths(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
     rows = table(spark, sf, "events").withColumn("i", F.row_number().over(w) - 1)

@@ -142,7 +142,7 @@ def claim_ids_kept_dropped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "multiset_admission",
-    f"""WITH w AS (SELECT item_id, unnest({WORDS.format("text")}) AS v, generate_subscripts({WORDS.format("text")}, 1) AS pos FROM benchmark), p AS (SELECT doc_id % 40 AS item_id, unnest({WORDS.format("text")}) AS v FROM documents WHERE n_chars < 2000),
+    f"""WITH w AS (SELECT item_id, unnest({WORDS.format("text")}) AS v, generate_subscripts({WORDS.format("text")}, 1) AS pos FROM benchmark), p AS (SELECT doc_id % 40 AS item_id, unnest({WORDS.format("text")}) AS v FROM documents),
 pc AS (SELECT item_id, v, count(*) AS c FROM p GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY item_id, v ORDER BY pos) AS k FROM w)
 SELECT n.item_id, count(*) AS n, count(*) FILTER (k <= c) AS admitted FROM n LEFT JOIN pc USING (item_id, v) GROUP BY n.item_id""",
 )

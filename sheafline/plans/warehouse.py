@@ -15,13 +15,14 @@ def _dec(c: str, scale: int = 2):
 
 @query(
     "relational_division_unique",
-    """WITH n AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0), o AS (SELECT DISTINCT l_partkey % 50 AS grp, l_suppkey FROM lineitem), h AS (SELECT l_orderkey, grp, count(*) AS have FROM n JOIN o USING (l_suppkey) GROUP BY ALL), t AS (SELECT l_orderkey, count(*) AS need FROM n GROUP BY 1)
+    """WITH c AS (SELECT l_orderkey, l_partkey % 100 AS grp, l_linenumber || ':' || l_suppkey || ':' || l_quantity::BIGINT AS cell FROM lineitem), n AS (SELECT DISTINCT l_orderkey, cell FROM c), o AS (SELECT DISTINCT grp, cell FROM c), h AS (SELECT l_orderkey, grp, count(*) AS have FROM n JOIN o USING (cell) GROUP BY ALL), t AS (SELECT l_orderkey, count(*) AS need FROM n GROUP BY 1)
 SELECT l_orderkey, grp, count(*) OVER (PARTITION BY l_orderkey) AS n_candidates FROM h JOIN t USING (l_orderkey) WHERE have = need""",
 )
 def relational_division_unique(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    need = li.select("l_orderkey", "l_suppkey")
-    return joins.divide(need, li.select((F.col("l_partkey") % 50).alias("grp"), "l_suppkey"), "l_orderkey", "grp", "l_suppkey")
+    """Groups that hold every cell (line, supplier, quantity) of an order."""
+    cell = F.concat_ws(":", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 100).alias("grp"), cell.alias("cell"))
+    return joins.divide(li, li, "l_orderkey", "grp", "cell")
 
 
 @query(
@@ -129,13 +130,13 @@ def half_up_render(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cost_usd",
-    "SELECT l_shipmode, sum(i)::BIGINT AS tokens_in, sum(o)::BIGINT AS tokens_out, round(CAST(sum(i) * 1 + sum(o) * 5 AS DOUBLE) / 1000000, 6) AS batch_usd, round(CAST(sum(i) * 2 + sum(o) * 10 AS DOUBLE) / 1000000, 6) AS sync_usd FROM (SELECT l_returnflag AS l_shipmode, CAST(l_quantity AS BIGINT) * 100 AS i, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS o FROM lineitem) GROUP BY 1",
+    "SELECT l_returnflag, sum(i)::BIGINT AS tokens_in, sum(o)::BIGINT AS tokens_out, round(CAST(sum(i) * 1 + sum(o) * 5 AS DOUBLE) / 1000000, 6) AS batch_usd, round(CAST(sum(i) * 2 + sum(o) * 10 AS DOUBLE) / 1000000, 6) AS sync_usd FROM (SELECT l_returnflag, CAST(l_quantity AS BIGINT) * 100 AS i, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS o FROM lineitem) GROUP BY 1",
 )
 def cost_usd(spark: SparkSession, sf: str) -> DataFrame:
     q = F.col("l_quantity").cast("long")
-    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("l_shipmode"), (q * 100).alias("i"), F.when(F.col("l_linenumber") % 5 == 0, 0).otherwise(q).alias("o"))
+    rows = table(spark, sf, "lineitem").select("l_returnflag", (q * 100).alias("i"), F.when(F.col("l_linenumber") % 5 == 0, 0).otherwise(q).alias("o"))
     i, o = F.sum("i"), F.sum("o")
-    return rows.groupBy("l_shipmode").agg(i.alias("tokens_in"), o.alias("tokens_out"), F.round((i + o * 5) / 1_000_000, 6).alias("batch_usd"), F.round((i * 2 + o * 10) / 1_000_000, 6).alias("sync_usd"))
+    return rows.groupBy("l_returnflag").agg(i.alias("tokens_in"), o.alias("tokens_out"), F.round((i + o * 5) / 1_000_000, 6).alias("batch_usd"), F.round((i * 2 + o * 10) / 1_000_000, 6).alias("sync_usd"))
 
 
 @query("cost_projection", "SELECT round(3740 * (avg(l_quantity) * 100 + avg(l_quantity) * 5) / 1000000, 6) AS usd, 3740 * (avg(l_quantity) * 100 + avg(l_quantity) * 5) / 1000000 <= 120 AS within_gate FROM lineitem")

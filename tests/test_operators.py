@@ -39,10 +39,14 @@ def test_occurs(spark, text, value, want):
 
 def test_numeric_match_minus(spark):
     m = lambda g, a: tuple(one(spark, fx.numeric_match(F.col("g"), F.col("a")), g=g, a=a))
-    assert m("-5", "fell by 5 percent") == (True, True)
-    assert m("-5", "at −5 percent") == (True, False)
-    assert m("5", "about 6") == (False, False)
-    assert one(spark, fx.contained(F.col("a"), F.col("b")), a=" Gross  Product ", b="the gross product rose") is True
+    # A sign is part of a number: these asserted the opposite before.
+    assert m("-5", "fell by 5 percent") == (False, False)
+    assert m("-5", "at −5 percent") == (True, True)
+    assert m("–106.3", "net borrowing was -106.3 billion") == (True, True)
+    assert m("–106.3", "net borrowing was (106.3) billion") == (False, False)
+    assert m("-106.3", "-106.3") == (True, False) and m("106.3", "(106.3)") == (True, False)
+    assert m("5", "about 6") == (False, False) and m("", "any 5") == (False, False)
+    assert one(spark, fx.contained(F.col("a"), F.col("b")), a="Gross  Product", b="the gross product rose") is True
 
 
 def test_flags_scores_fences(spark):
