@@ -180,8 +180,16 @@ def is_separator(row: Column) -> Column:
 
 
 def strip_leaders(row: Column) -> Column:
-    """Leader runs (dots or replacement characters) go from the cells of a row, unless digits stand on both sides. Doing it again changes nothing."""
-    return F.regexp_replace(row, r"(?<![0-9])(?: ?[.�]){3,}|(?: ?[.�]){3,}(?![0-9])", "")
+    """Leader runs (two replacement characters or more, and a backspace before them) go from the cells of a row.
+
+    A run with a digit on both sides, blanks aside, stays: it may stand for digits.  Text outside the cells stays as well.
+    Doing it again changes nothing.
+    """
+    parts = F.split(row, r"(?<!\\)\|", -1)
+    n = F.size(parts)
+    run = r"(?<!�)(?:\x08\s*)?(?:(?<![0-9][ \t\x08]{0,64})�{2,}+|�{2,}+(?![ \t]*[0-9]))"
+    kept = F.transform(parts, lambda p, i: F.when((i > 0) & (i < n - 1), F.regexp_replace(p, run, "")).otherwise(p))
+    return F.when(n > 2, F.array_join(kept, "|")).otherwise(row)
 
 
 @F.pandas_udf(T.StringType())

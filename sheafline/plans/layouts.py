@@ -47,12 +47,17 @@ def point_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", layout.point_id(F.concat(F.lit("doc::"), F.col("doc_id").cast("string"))).alias("point_id"))
 
 
-@query("leader_run_strip", r"SELECT doc_id, count(*) AS n_cells, count(*) FILTER (c <> '') AS n_filled FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(trim(line, ' '), '^\|', ''), '\|$', ''), '|')) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, '|')) GROUP BY doc_id")
+LEADERS = ("|Total ���|{}|", "|{} �� {}|�|", "|a \\| b��|x|", "|Sum \b ���|{}��|", "��|{}��a|��")
+
+
+@query(
+    "leader_run_strip",
+    "SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN '|Total |' || q || '|' WHEN 1 THEN '|' || q || ' �� ' || q || '|�|' WHEN 2 THEN '|a \\| b|x|' WHEN 3 THEN '|Sum |' || q || '|' ELSE '��|' || q || 'a|��' END AS row FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity::BIGINT AS VARCHAR) AS q, (l_orderkey + l_linenumber) % 5 AS k FROM lineitem)",
+)
 def leader_run_strip(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chunks.lines(table(spark, sf, "documents").select("doc_id", "text")).filter(F.contains("line", F.lit("|")))
-    # Documents hold no leader runs; stripping must change nothing.
-    cells = rows.select("doc_id", F.explode(F.split(F.regexp_replace(F.trim(layout.strip_leaders(F.col("line"))), r"^\||\|$", ""), r"\|", -1)).alias("c"))
-    return cells.groupBy("doc_id").agg(F.count("*").alias("n_cells"), F.count_if(F.col("c") != "").alias("n_filled"))
+    q = F.col("l_quantity").cast("long").cast("string")
+    row = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{}"), q) for x in LEADERS]), ((F.col("l_orderkey") + F.col("l_linenumber")) % 5 + 1).cast("int"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", layout.strip_leaders(row).alias("row"))
 
 
 @query("cell_scores")

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sheafline.operators import layout
+from sheafline.operators import layout, pages
 
 
 def page(lines, width=6.0, height=10.0, leading=12.0):
@@ -54,10 +54,11 @@ def test_best_mapping_drops_columns():
 
 
 def test_markdown_rows(spark):
-    df = spark.createDataFrame([(r"| a \| b | 1.5 | x ..... |",), ("|:--|--:|",), ("| 3...4 | � � � 7 |",)], "r string")
+    df = spark.createDataFrame([(r"| a \| b | 1.5 | x ���� |",), ("|:--|--:|",), ("| 3 �� 4 | ��� 7 |�|",), ("a �� b",)], "r string")
     rows = df.select(layout.split_cells(F.col("r")).alias("c"), layout.is_separator(F.col("r")).alias("s"), layout.strip_leaders(F.col("r")).alias("t"), layout.strip_leaders(layout.strip_leaders(F.col("r"))).alias("u")).collect()
-    assert rows[0].c == [r"a \| b", "1.5", "x ....."] and [r.s for r in rows] == [False, True, False]
-    assert all(r.t == r.u for r in rows) and "....." not in rows[0].t and "3...4" in rows[2].t
+    assert rows[0].c == [r"a \| b", "1.5", "x ����"] and [r.s for r in rows] == [False, True, False, False]
+    # Runs of replacement characters go, unless digits stand on both sides or they are outside cells; dots are text.
+    assert [r.t for r in rows] == [r"| a \| b | 1.5 | x  |", "|:--|--:|", "| 3 �� 4 |  7 |�|", "a �� b"] == [r.u for r in rows]
 
 
 def test_units_ids_and_scores(spark):
@@ -68,3 +69,26 @@ def test_units_ids_and_scores(spark):
     p = spark.createDataFrame([("u", 0, 1, "2"), ("u", 0, 2, "2"), ("u", 1, 1, "3")], "unit string, row_no int, col_no int, text string")
     r = layout.score_cells(t, p, ["unit"]).first()
     assert (r.n, r.strict, r.lenient) == (3, 2, 2)
+
+
+def test_stitched_columns(spark):
+    up = spark.createDataFrame([("t", 0, 100.0), ("t", 1, 200.0), ("t", 2, 300.0)], "unit string, col_no long, x double")
+    low = spark.createDataFrame([("t", 0, 110.0), ("t", 1, 250.0), ("t", 2, 360.0), ("t", 3, 30.0)], "unit string, col_no long, x double")
+    got = {(r.half, r.col_no): r.new_no for r in pages.stitched_columns(up, low, ["unit"]).collect()}
+    # 110 is the first upper column, 250 lies half a pitch from 200 and 300 (the left one), 360 and 30 are new.
+    assert got == {("upper", 0): 1, ("upper", 1): 2, ("upper", 2): 3, ("lower", 0): 1, ("lower", 1): 2, ("lower", 2): 4, ("lower", 3): 0}
+
+
+def test_page_class(spark):
+    rows = [(10, 1, "Header", ["note"]), (100, 1, "Figure 3", ["note"]), (100, 0, "x", ["table", "note"]), (100, 0, "x", ["table"]), (12, 0, "x", []), (13, 0, "x", [])]
+    df = spark.createDataFrame(rows, "w int, i int, f string, n array<string>")
+    assert [r.c for r in df.select(pages.page_class(*map(F.col, "wifn")).alias("c")).collect()] == ["image-only", "figure", "notes", "headed table", "divider", "text"]
+
+
+def test_trigger_counts_bands(spark):
+    t = [("t", 0, 0, "Total", 0.0, 50.0), ("t", 0, 1, "2020", 100.0, 140.0), ("t", 1, 0, "a", 0.0, 10.0), ("t", 1, 1, "12.5", 100.0, 140.0), ("t", 1, 2, "7", 230.0, 240.0), ("t", 2, 1, "(3)", 111.0, 141.0)]
+    g = [("t", 1, 1, "12.5 7", False), ("t", 0, 1, "2020", True), ("u", 1, 1, "9", False)]
+    tokens = spark.createDataFrame(t, "unit string, line_no int, pos int, text string, x0 double, x1 double")
+    grid = spark.createDataFrame(g, "unit string, row_no int, col_no int, text string, header boolean")
+    got = {r.unit: tuple(r)[1:] for r in pages.trigger_counts(tokens, grid, ["unit"]).select("unit", "numeric_lines", "bands", "grid_rows", "grid_cols", "fired").collect()}
+    assert got == {"t": (2, 2, 1, 1, True), "u": (0, 0, 1, 1, True)}
