@@ -184,9 +184,10 @@ def batch_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return k.groupBy("ids", "n").agg(F.count("*").alias("n_batches")).withColumn("ambiguous", F.col("n_batches") > 1)
 
 
-@query("not_in_manifest", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("not_in_manifest", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)")
 def not_in_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey").join(table(spark, sf, "lineitem").select("l_partkey"), F.col("p_partkey") == F.col("l_partkey"), "left_anti")
+    manifest = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 45").select("l_partkey")
+    return table(spark, sf, "part").select("p_partkey").join(manifest, F.col("p_partkey") == F.col("l_partkey"), "left_anti")
 
 
 @query("orphans_both_ways", "SELECT coalesce(c_nationkey, s_nationkey) AS nation, CASE WHEN c_nationkey IS NULL THEN 'supplier only' ELSE 'customer only' END AS side FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey < 20) FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey > 4) ON c_nationkey = s_nationkey WHERE c_nationkey IS NULL OR s_nationkey IS NULL")
@@ -203,9 +204,21 @@ def results_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("r", F.lit("errored")).alias("result"))
 
 
-@query("near_duplicate_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 100 = 0 WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.9 * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))")
-def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of near copies."""
+@query(
+    "near_duplicate_groups",
+    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) > 0.9 * a.n * b.n), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT id, coalesce(n, 0) AS n_links, component, coalesce(rejected, false) AS rejected FROM (SELECT a AS id, min(b) AS component FROM r GROUP BY a) LEFT JOIN (SELECT a AS id, count(*) AS n, min(b) < a AS rejected FROM l GROUP BY a) USING (id)""",
+)
+def near_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector with its links, its group and whether an earlier one rejects it."""
     from ..operators import retrieval as rt
 
-    return rt.near_pairs(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.9)
+    return rt.near_groups(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.9)
+
+
+@query("markdown_report", "SELECT CASE WHEN i < 0 THEN i + 2 ELSE i + 2 END AS line_no, line FROM (SELECT -2 AS i, '| l_returnflag | l_linestatus | n |' AS line UNION ALL SELECT -1, '| --- | --- | --- |' UNION ALL SELECT row_number() OVER (ORDER BY l_returnflag, l_linestatus) - 1, '| ' || l_returnflag || ' | ' || l_linestatus || ' | ' || n || ' |' FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL))")
+def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources import files
+
+    return files.markdown_table(table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")), ["l_returnflag", "l_linestatus"])

@@ -43,18 +43,13 @@ def test_every_order_is_rebuilt_and_scored(spark, con):
     assert dict(rows_of(spark, "cell_scores", "unit", "n")) == {k: 2 * n for k, n in orders.items()}
 
 
-def test_all_near_pairs(spark, con):
-    sql = "with v as (select vec_id, embedding::double[] as e from embeddings) select a.vec_id, b.vec_id from v a join v b on a.vec_id < b.vec_id where list_dot_product(a.e, b.e) > 0.9 * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))"
-    assert rows_of(spark, "near_duplicate_pairs", "a", "b") == plain(con, sql)
-
-
-def test_pairs_of_any_id(spark, tmp_path):
+def test_groups_of_any_id(spark, tmp_path):
     rows = [(101, [1.0, 0.0]), (250, [0.99, 0.01]), (251, [0.0, 1.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert [tuple(r) for r in catalog.QUERIES["near_duplicate_pairs"](spark, str(tmp_path)).collect()] == [(101, 250)]
+    assert [tuple(r) for r in catalog.QUERIES["near_duplicate_groups"](spark, str(tmp_path)).orderBy("id").collect()] == [(101, 1, 101, False), (250, 1, 101, True), (251, 0, 251, False)]
 
 
-def test_near_pairs_across_blocks(spark):
+def test_near_groups_across_blocks(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 8))
     x = np.concatenate([base, base + 0.1 * rng.normal(size=base.shape), base[:1].repeat(20, 0)])
@@ -62,8 +57,12 @@ def test_near_pairs_across_blocks(spark):
     want = {(i + 1, j + 1) for i, j in zip(*np.nonzero(np.triu(u @ u.T > 0.9, 1)), strict=True)}
     odd = [(500, None), (501, [0.0] * 8), (502, [float("nan")] * 8), (503, [1.0]), (504, [])]
     df = spark.createDataFrame([*((i + 1, v.tolist()) for i, v in enumerate(x)), *odd], "id long, vec array<double>")
-    got = [tuple(r) for r in retrieval.near_pairs(df, 0.9, block=30).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and any(a % 100 for a, _ in want)
+    n, comp = Counter(i for p in want for i in p), {i + 1: i + 1 for i in range(len(x))}
+    for _ in comp:
+        for a, b in want:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {r.id: (r.n_links, r.component, r.rejected) for r in retrieval.near_groups(df, 0.9, block=30).collect()}
+    assert got == {i: (n[i], comp.get(i, i), any(b == i for _, b in want)) for i in [*comp, *(k for k, _ in odd)]}
 
 
 def test_long_documents_admit_words(spark, con):
@@ -75,11 +74,12 @@ select item_id, sum(k)::bigint, sum(least(k, coalesce(c, 0)))::bigint from w lef
 
 def test_division_of_all_orders(spark, con):
     need, groups = {}, {}
-    for o, p, s in con.execute("select l_orderkey, l_partkey, l_suppkey from lineitem").fetchall():
-        need.setdefault(o, set()).add(s)
-        groups.setdefault(p % 50, set()).add(s)
+    for o, p, *cell in con.execute("select l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity::bigint from lineitem").fetchall():
+        need.setdefault(o, set()).add(tuple(cell))
+        groups.setdefault(p % 100, set()).add(tuple(cell))
     want = [(o, g) for o, items in need.items() for g, have in groups.items() if items <= have]
     n = Counter(o for o, _ in want)
+    assert set(n) != {o for o in need if len(need[o]) == 1} and len(want) < len(need) * len(groups)  # some groups are refused
     assert rows_of(spark, "relational_division_unique", "l_orderkey", "grp", "n_candidates") == sorted(((o, g, n[o]) for o, g in want), key=repr)
 
 
