@@ -36,9 +36,10 @@ def choose_verifier(tallies: DataFrame, default: str) -> DataFrame:
 
 def branch(kappas: DataFrame, verifier: str, mode: str, num: str, den: str) -> DataFrame:
     """Best kappa over rows (verifier, mode, num / den as whole numbers) and the branch; several verifiers at exactly the best: STOP."""
-    rows = kappas.filter(F.col(den) != 0).withColumn("_k_", F.col(num) / F.col(den))
-    best = rows.agg(F.max("_k_").alias("_best_"), F.max_by(F.struct(num, den), "_k_").alias("_f_"))
-    tied = rows.join(F.broadcast(best)).filter(F.col(num).cast("decimal(38,0)") * F.col("_f_")[den] == F.col("_f_")[num].cast("decimal(38,0)") * F.col(den))
+    rows = kappas.filter(F.col(den) > 0).select(verifier, mode, F.col(num).cast("decimal(19,0)").alias("_p_"), F.col(den).cast("decimal(19,0)").alias("_q_"))
+    # A row is best if none is above it as a fraction, by whole products; verifiers times modes are a handful.
+    all_ = F.broadcast(rows.agg(F.collect_set(F.struct(F.col("_p_").alias("p"), F.col("_q_").alias("q"))).alias("_all_")))
+    tied = rows.join(all_).filter(~F.exists("_all_", lambda o: o["p"] * F.col("_q_") > F.col("_p_") * o["q"])).withColumn("_best_", (F.col("_p_") / F.col("_q_")).cast("double"))
     n = tied.groupBy("_best_").agg(F.countDistinct(verifier).alias("n_best"), F.min(verifier).alias("verifier"))
     step = F.when(F.col("n_best") > 1, "STOP").when(F.col("_best_") >= GO, "GO").when(F.col("_best_") >= TUNE, "GO, TUNE").otherwise("NO-GO CANDIDATE")
     return n.select(F.round("_best_", 6).alias("kappa"), "n_best", F.when(F.col("n_best") == 1, F.col("verifier")).alias("verifier"), step.alias("branch"))

@@ -153,6 +153,35 @@ def bootstrap_sums(clusters: DataFrame, cluster: str, rounds: int, sums: Sequenc
     return rows.groupBy(*groups, "round").agg(*[F.sum(F.col("_t_") * F.col(s)).alias(s) for s in sums])
 
 
+def cluster_resamples(clusters: DataFrame, cluster: str, rounds: int, sums: Sequence[str]) -> DataFrame:
+    """Sums of `rounds` resamples, each of as many clusters as there are, drawn with replacement; a row per round.
+
+    Draw j of round r takes cluster floor(u n) in the order of ids, u from a digest of r and j.  Clusters are aggregated
+    before and are the questions or tables of one evaluation; for very many of them take `bootstrap_sums`, whose
+    multiplicities are independent.
+    """
+    numbered = clusters.select((F.row_number().over(Window.orderBy(cluster)) - 1).cast("long").alias("_i_"), *sums)
+    n = clusters.agg(F.count("*").alias("_n_"))  # one row
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("round"), F.col("_j_"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    draws = clusters.sparkSession.range(rounds).withColumnRenamed("id", "round").join(F.broadcast(n)).filter("_n_ > 0").withColumn("_j_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n_") - 1)))
+    return draws.withColumn("_i_", F.floor(u * F.col("_n_")).cast("long")).join(numbered, "_i_").groupBy("round").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def kappa_of_counts(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Cohen's kappa of a two by two table (both, first only, second only, none); null where chance agreement is 1."""
+    return F.try_divide(2 * (a * d - b * c), (a + b) * (b + d) + (a + c) * (c + d))
+
+
+def align_refusals(labels: DataFrame, scores: DataFrame, group: Sequence[str], key: str, status: str) -> DataFrame:
+    """Per group: rows on either side, FAIL rows, ids on one side only, and the first reason to refuse the pair (null: none)."""
+    a, b = labels.groupBy(*group).agg(F.count("*").alias("n_labels")), scores.groupBy(*group).agg(F.count("*").alias("n_scores"), F.count_if(F.col(status) == "FAIL").alias("n_fail"))
+    x, y = labels.select(*group, key).distinct().withColumn("_a_", F.lit(1)), scores.select(*group, key).distinct().withColumn("_b_", F.lit(1))
+    odd = x.join(y, [*group, key], "full").groupBy(*group).agg(F.count_if(F.col("_a_").isNull() | F.col("_b_").isNull()).alias("n_odd"), F.count("*").alias("n_ids"))
+    out = odd.join(a, list(group), "left").join(b, list(group), "left").fillna(0, ["n_labels", "n_scores", "n_fail"])
+    reason = F.when(F.col("n_fail") > 0, "FAIL rows").when(F.col("n_labels") != F.col("n_scores"), "row count").when((F.col("n_odd") > 0) | (F.col("n_ids") != F.col("n_scores")), "ids")
+    return out.select(*group, "n_labels", "n_scores", "n_fail", "n_odd", reason.alias("refused"))
+
+
 def percentile_interval(df: DataFrame, groups: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
     """Linear percentiles of the defined values and how many are undefined."""
     a = (1 - level) / 2

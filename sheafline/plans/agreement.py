@@ -58,7 +58,11 @@ def clopper_pearson(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("w", stats.clopper_pearson("k", "n")).select("source", "n", "k", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
 
 
-@query("mcnemar")
+@query(
+    "mcnemar",
+    f"""WITH d AS (SELECT source, count(*) FILTER (bad = 1 AND toxic = 0) AS b, count(*) FILTER (bad = 0 AND toxic = 1) AS c FROM {BASE} GROUP BY source)
+SELECT source, b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum([exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)) FOR i IN range(greatest(b, c), b + c + 1)])) END, 6) AS p FROM d""",
+)
 def mcnemar(spark: SparkSession, sf: str) -> DataFrame:
     c = _rated(spark, sf).groupBy("source").agg(F.count_if(F.expr("bad = 1 and toxic = 0")).alias("b"), F.count_if(F.expr("bad = 0 and toxic = 1")).alias("c"))
     return c.withColumn("p", F.round(stats.mcnemar("b", "c"), 6))
@@ -117,28 +121,96 @@ def multi_criterion_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("few_bad") & F.col("few_toxic") & F.col("long_enough"), "PASS").otherwise("FAIL"))
 
 
-POISSON = "list_sum([CASE WHEN u >= c THEN 1 ELSE 0 END FOR c IN [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]])"
-BOOT_SQL = f"""WITH c AS (SELECT source, count(*) AS n, sum(toxic) AS k FROM {BASE} GROUP BY source), r AS (SELECT c.*, b AS round, CAST(('0x' || substr(md5(b || ':' || source), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM c, range(200) t(b)),
-s AS (SELECT round, sum({POISSON} * k)::DOUBLE / nullif(sum({POISSON} * n), 0) AS rate FROM r GROUP BY round)"""
+DRAW = "floor(CAST(('0x' || substr(md5(b || ':' || j), 1, 8)) AS BIGINT) / 4294967296.0 * n_c)::BIGINT"
+BOOT_SQL = """WITH c AS (SELECT {sums} source FROM {base} GROUP BY source), i AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i FROM c), t AS (SELECT count(*) AS n_c FROM c), j AS (SELECT unnest(range(n_c)) AS j, n_c FROM t),
+d AS (SELECT b, {draw} AS i FROM range({rounds}) r(b), j), s AS (SELECT b, {value} AS rate FROM d JOIN i USING (i) GROUP BY b)"""
+RATE = {"sums": "count(*) AS n, sum(toxic) AS k,", "base": BASE, "draw": DRAW, "value": "sum(k)::DOUBLE / nullif(sum(n), 0)"}
 
 
-def _rounds(spark: SparkSession, sf: str) -> DataFrame:
+def _rounds(spark: SparkSession, sf: str, rounds: int) -> DataFrame:
     clusters = _rated(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
-    return stats.bootstrap_sums(clusters, "source", 200, ["k", "n"]).withColumn("rate", F.try_divide(F.col("k"), F.col("n")))
+    return stats.cluster_resamples(clusters, "source", rounds, ["k", "n"]).withColumn("rate", F.try_divide(F.col("k"), F.col("n")))
 
 
-@query("cluster_bootstrap_ci", BOOT_SQL + " SELECT round(quantile_cont(rate, 0.025), 6) AS low, round(quantile_cont(rate, 0.975), 6) AS high, count(*) FILTER (rate IS NULL) AS undefined FROM s")
+@query("cluster_bootstrap_ci", BOOT_SQL.format(rounds=1000, **RATE) + " SELECT round(quantile_cont(rate, 0.025), 6) AS low, round(quantile_cont(rate, 0.975), 6) AS high, count(*) FILTER (rate IS NULL) AS undefined FROM s")
 def cluster_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    out = stats.percentile_interval(_rounds(spark, sf), [], "rate")
+    """1,000 resamples of all sources with replacement."""
+    out = stats.percentile_interval(_rounds(spark, sf, 1000), [], "rate")
     return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "undefined")
 
 
-@query("table_bootstrap_ci", BOOT_SQL + ", v AS (SELECT list_sort(list(rate)) AS v FROM s WHERE rate IS NOT NULL) SELECT round(v[floor(0.025 * (len(v) - 1))::INT + 1], 6) AS low, round(v[floor(0.975 * (len(v) - 1))::INT + 1], 6) AS high FROM v")
+@query("table_bootstrap_ci", BOOT_SQL.format(rounds=10_000, **RATE) + ", v AS (SELECT list_sort(list(rate)) AS v FROM s WHERE rate IS NOT NULL) SELECT round(v[floor(0.025 * (len(v) - 1))::INT + 1], 6) AS low, round(v[floor(0.975 * (len(v) - 1))::INT + 1], 6) AS high FROM v")
 def table_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    out = stats.order_interval(_rounds(spark, sf).filter("rate is not null"), [], "rate")
+    """10,000 resamples, order statistics."""
+    out = stats.order_interval(_rounds(spark, sf, 10_000).filter("rate is not null"), [], "rate")
     return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+TWO = "count(*) FILTER (bad = 1 AND toxic = 1)::DOUBLE AS a, count(*) FILTER (bad = 1 AND toxic = 0)::DOUBLE AS b_, count(*) FILTER (bad = 0 AND toxic = 1)::DOUBLE AS c_, count(*) FILTER (bad = 0 AND toxic = 0)::DOUBLE AS d_,"
+KAPPA_RATE = "2 * (sum(a) * sum(d_) - sum(b_) * sum(c_)) / nullif((sum(a) + sum(b_)) * (sum(b_) + sum(d_)) + (sum(a) + sum(c_)) * (sum(c_) + sum(d_)), 0)"
+
+
+@query(
+    "kappa_bootstrap_ci",
+    BOOT_SQL.format(rounds=1000, sums=TWO, base=BASE, draw=DRAW, value=KAPPA_RATE) + " SELECT round(quantile_cont(rate, 0.025), 6) AS low, round(quantile_cont(rate, 0.975), 6) AS high, count(*) FILTER (rate IS NULL) AS undefined FROM s",
+)
+def kappa_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    """Kappa under 1,000 resamples of sources: a table of counts per source is all that is drawn."""
+    n = lambda x, y: F.count_if((F.col("bad") == x) & (F.col("toxic") == y)).cast("double")
+    clusters = _rated(spark, sf).groupBy("source").agg(n(1, 1).alias("a"), n(1, 0).alias("b"), n(0, 1).alias("c"), n(0, 0).alias("d"))
+    rows = stats.cluster_resamples(clusters, "source", 1000, ["a", "b", "c", "d"]).withColumn("kappa", stats.kappa_of_counts(*map(F.col, "abcd")))
+    return stats.percentile_interval(rows, [], "kappa").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "undefined")
+
+
+THREE = "CASE WHEN quality = 1 AND toxic = 0 THEN 'SUPPORTED' WHEN quality = 1 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END"
+FOLDS = {"3-class": THREE, "binary": f"CASE WHEN {THREE} = 'PARTIAL' THEN 'UNSUPPORTED' ELSE {THREE} END", "reverse": f"CASE WHEN {THREE} = 'PARTIAL' THEN 'SUPPORTED' ELSE {THREE} END"}
+CELL_SQL = " UNION ALL ".join(
+    "SELECT * FROM (" + KAPPA_SQL.format(g="fold,", u="fold,", j="LEFT JOIN e USING (fold)", b=f"(SELECT '{name}' AS fold, {truth} AS bad, CASE WHEN n_chars > 2000 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS toxic FROM {BASE})") + ")"
+    for name, truth in FOLDS.items()
+)
+
+
+@query("cell_kappas", CELL_SQL)
+def cell_kappas(spark: SparkSession, sf: str) -> DataFrame:
+    """Kappa of one verdict with three classes, with PARTIAL as UNSUPPORTED, and with PARTIAL as SUPPORTED."""
+    three = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "SUPPORTED").when(F.col("quality") == 1, "PARTIAL").otherwise("UNSUPPORTED")
+    rows = _rated(spark, sf).select(three.alias("three"), F.when(F.col("n_chars") > 2000, "SUPPORTED").otherwise("UNSUPPORTED").alias("verdict"))
+    to = lambda x: F.when(F.col("three") == "PARTIAL", x).otherwise(F.col("three"))
+    folds = F.create_map(F.lit("3-class"), F.col("three"), F.lit("binary"), to("UNSUPPORTED"), F.lit("reverse"), to("SUPPORTED"))
+    rows = rows.select(F.explode(folds).alias("fold", "truth"), "verdict")
+    return stats.kappa(rows, ["fold"], "truth", "verdict").withColumn("kappa", F.round("kappa", 6))
+
+
+@query(
+    "align_refusals",
+    f"""WITH a AS (SELECT lang, doc_id FROM {BASE}), b AS (SELECT lang, doc_id, CASE WHEN lang = 'de' AND doc_id % 20 = 0 THEN 'FAIL' ELSE 'ok' END AS status FROM {BASE} WHERE NOT (lang = 'fr' AND doc_id % 3 = 0) UNION ALL SELECT 'en', -1, 'ok'), x AS (SELECT lang, count(*) AS n_labels FROM a GROUP BY lang), y AS (SELECT lang, count(*) AS n_scores, count(*) FILTER (status = 'FAIL') AS n_fail FROM b GROUP BY lang),
+o AS (SELECT coalesce(a.lang, b.lang) AS lang, count(*) FILTER (a.lang IS NULL OR b.lang IS NULL) AS n_odd, count(*) AS n_ids FROM (SELECT DISTINCT * FROM a) a FULL JOIN (SELECT DISTINCT lang, doc_id FROM b) b ON a.lang = b.lang AND a.doc_id = b.doc_id GROUP BY 1)
+SELECT lang, coalesce(n_labels, 0) AS n_labels, coalesce(n_scores, 0) AS n_scores, coalesce(n_fail, 0) AS n_fail, n_odd, CASE WHEN n_fail > 0 THEN 'FAIL rows' WHEN coalesce(n_labels, 0) <> coalesce(n_scores, 0) THEN 'row count' WHEN n_odd > 0 OR n_ids <> n_scores THEN 'ids' END AS refused FROM o LEFT JOIN x USING (lang) LEFT JOIN y USING (lang)""",
+)
+def align_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels against scores with FAIL rows, gaps and a stray id planted by language."""
+    labels = _rated(spark, sf).select("lang", "doc_id")
+    status = F.when((F.col("lang") == "de") & (F.col("doc_id") % 20 == 0), "FAIL").otherwise("ok")
+    scores = labels.filter("not (lang = 'fr' and doc_id % 3 = 0)").withColumn("status", status)
+    stray = spark.createDataFrame([("en", -1, "ok")], "lang string, doc_id long, status string")
+    return stats.align_refusals(labels, scores.unionByName(stray), ["lang"], "doc_id", "status")
+
+
+BRANCH_SQL = f"""WITH c AS (SELECT source, count(*)::HUGEINT AS n, count(*) FILTER (bad = toxic)::HUGEINT AS o, count(*) FILTER (bad = 1)::HUGEINT AS x, count(*) FILTER (toxic = 1)::HUGEINT AS y FROM {BASE} GROUP BY source), k AS (SELECT source, n * o - (x * y + (n - x) * (n - y)) AS p, n * n - (x * y + (n - x) * (n - y)) AS q FROM c),
+b AS (SELECT * FROM k WHERE q > 0 AND NOT EXISTS (SELECT 1 FROM k AS o WHERE o.q > 0 AND o.p * k.q > k.p * o.q))
+SELECT round(max(p::DOUBLE / q), 6) AS kappa, count(*) AS n_best, CASE WHEN count(*) = 1 THEN min(source) END AS verifier, CASE WHEN count(*) > 1 THEN 'STOP' WHEN max(p::DOUBLE / q) >= 0.6 THEN 'GO' WHEN max(p::DOUBLE / q) >= 0.5 THEN 'GO, TUNE' ELSE 'NO-GO CANDIDATE' END AS branch FROM b"""
+
+
+@query("kappa_branch", BRANCH_SQL)
+def kappa_branch(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as verifiers: the best kappa as a fraction of whole numbers, and what it leads to."""
+    is_ = lambda c: F.count_if(F.col(c) == 1)
+    c = _rated(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("bad") == F.col("toxic")).alias("o"), is_("bad").alias("x"), is_("toxic").alias("y"))
+    chance = F.expr("x * y + (n - x) * (n - y)")
+    rows = c.select(F.col("source").alias("verifier"), F.lit("concatenated").alias("mode"), (F.expr("n * o") - chance).alias("p"), (F.expr("n * n") - chance).alias("q"))
+    return decision.branch(rows, "verifier", "mode", "p", "q")
+
+
 @query("failure_taxonomy", f"SELECT code, count(*) AS n FROM (SELECT CASE WHEN n_chars < 100 THEN 'too_short' WHEN bad = 1 AND toxic = 0 THEN 'missed' WHEN bad = 0 AND toxic = 1 THEN 'false_alarm' ELSE 'other' END AS code FROM {BASE} WHERE bad <> toxic) GROUP BY code")
 def failure_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     code = F.when(F.col("n_chars") < 100, "too_short").when((F.col("bad") == 1) & (F.col("toxic") == 0), "missed").when((F.col("bad") == 0) & (F.col("toxic") == 1), "false_alarm").otherwise("other")

@@ -31,7 +31,7 @@ def glyph_to_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query("fuzzy_label_match")
 def fuzzy_label_match(spark: SparkSession, sf: str) -> DataFrame:
     """Part names against the same with their last letter doubled."""
-    parts = table(spark, sf, "part").select((F.col("p_partkey") % 40).alias("k"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("label")).distinct()
+    parts = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 50).alias("k"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("label")).distinct()
     return layout.label_matches(parts, parts.withColumn("label", F.concat("label", F.substring("label", -1, 1))).distinct(), "k", "label")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
-from ..streaming import jobs
+from ..streaming import jobs, recovery
 from .registry import query, table
 
 #: Event types as job states.
@@ -74,6 +74,25 @@ def job_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("legal", jobs.legal(F.when(F.col("before") != "new", F.col("before")), F.col("after")))
 
 
+@query(
+    "job_recovery",
+    f"""WITH s AS (SELECT job, arg_max(state, off) AS state FROM {LOG_SQL} GROUP BY job) SELECT CASE WHEN CAST(substr(job, 2) AS BIGINT) // 10 % 2 = 0 THEN 'adopt' ELSE 'send again' END AS action, count(*) AS n, count(DISTINCT CAST(substr(job, 2) AS BIGINT) // 10) AS n_tokens FROM s WHERE state = 'intended' GROUP BY 1""",
+)
+def job_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Intended jobs, ten to a token; the service knows every other token."""
+    tens = F.expr("cast(substr(job, 2) as bigint) div 10")
+    states = jobs.last_state(_log(table(spark, sf, "events"))).withColumn("token", tens.cast("string")).withColumn("batch", F.lit(None).cast("string"))
+    known = states.select("token").distinct().filter("cast(token as bigint) % 2 = 0").withColumn("batch", F.concat(F.lit("b"), F.col("token")))
+    return recovery.recovered(states, known).groupBy("action").agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_tokens"))
+
+
+@query("seed_conflicts", f"SELECT (CAST(substr(job, 2) AS BIGINT) % 3)::INT AS seed, count(*) AS n FROM (SELECT job, arg_max(state, off) AS state FROM {LOG_SQL} GROUP BY job) WHERE CAST(substr(job, 2) AS BIGINT) % 3 <> 1 AND state <> 'completed' GROUP BY 1")
+def seed_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds other than 1 with unfinished jobs."""
+    states = jobs.last_state(_log(table(spark, sf, "events"))).withColumn("seed", F.expr("cast(cast(substr(job, 2) as bigint) % 3 as int)"))
+    return recovery.conflicts(states, 1)
+
+
 @query("stream_state_machine")
 def stream_state_machine(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, jobs.machine(_stream(spark, sf)), "update")
