@@ -24,8 +24,9 @@ def multiset_match(wanted: DataFrame, printed: DataFrame, group: Sequence[str],
 def multiset_overlap(a: DataFrame, b: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Per group: values of a, those conserved in b (multiset intersection), and the excess."""
     keys = [*group, value]
-    x, y = a.groupBy(*keys).agg(F.count("*").alias("_a_")), b.groupBy(*keys).agg(F.count("*").alias("_b_"))
-    both = x.join(y, keys, "left").withColumn("_c_", F.least("_a_", F.coalesce("_b_", F.lit(0))))
+    side = lambda df, x, y: df.select(*keys, F.lit(x).cast("long").alias("_x_"), F.lit(y).cast("long").alias("_y_"))
+    counts = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(*keys).agg(F.sum("_x_").alias("_a_"), F.sum("_y_").alias("_b_"))  # one shuffle of partial counts
+    both = counts.filter("_a_ > 0").withColumn("_c_", F.least("_a_", "_b_"))
     return both.groupBy(*group).agg(F.sum("_a_").alias("n"), F.sum("_c_").alias("conserved"), F.sum(F.col("_a_") - F.col("_c_")).alias("excess"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import checkpoints
+
 
 def carry_down(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
     """The last non-null value up to and with each row."""
@@ -55,3 +57,21 @@ def neighbour_flip(df: DataFrame, key: str, order: Sequence[str], bad: Column) -
     w = Window.partitionBy(key).orderBy(*order)
     rows = df.withColumn("_bad_", bad).withColumn("_b_", F.lag("_bad_").over(w)).withColumn("_a_", F.lead("_bad_").over(w))
     return rows.filter("_bad_ and not _b_ and not _a_").drop("_bad_", "_b_", "_a_")
+
+
+def numbered(df: DataFrame, group: str, order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
+    """df with numbers 0, 1, ... within each group, without a group in one task.
+
+    Rows are dealt by ranges of (group, order), written once, and ranked within their range; a small table of counts
+    (groups that meet in a range, summed over ranges) gives each its first number.
+    """
+    spark = df.sparkSession
+    checkpoints(spark)
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, group, *order).withColumn("_p_", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy(group, "_p_").agg(F.count("*").alias("_n_"))
+    before = Window.partitionBy(group).orderBy("_p_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias("_g_"), F.col("_p_").alias("_q_"), F.coalesce(F.sum("_n_").over(before), F.lit(0)).alias("_s_"))
+    rank = F.row_number().over(Window.partitionBy(group, "_p_").orderBy(*order))
+    out = dealt.withColumn("_r_", rank).join(starts, F.col(group).eqNullSafe(F.col("_g_")) & (F.col("_p_") == F.col("_q_")))
+    return out.withColumn(name, F.col("_s_") + F.col("_r_") - 1).drop("_p_", "_q_", "_g_", "_s_", "_r_")

@@ -135,8 +135,9 @@ def nearest_band(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT event_type, min(g) AS least, round(quantile_cont(g, 0.05), 6) AS p5, round(quantile_cont(g, 0.5), 6) AS median, max(g) AS most FROM (SELECT event_type, lead(sec) OVER (PARTITION BY event_type ORDER BY sec, event_id) - sec AS g FROM {EV}) WHERE g IS NOT NULL GROUP BY event_type",
 )
 def gap_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy(*ORDER)
-    gaps = _events(spark, sf).withColumn("g", F.lead("sec").over(w) - F.col("sec")).filter("g is not null")
+    at = order.numbered(_events(spark, sf).select("event_type", *ORDER), "event_type", ORDER, "i").select("event_type", "sec", "i")
+    following = at.select("event_type", (F.col("i") - 1).alias("i"), F.col("sec").alias("following"))
+    gaps = at.join(following, ["event_type", "i"]).withColumn("g", F.col("following") - F.col("sec"))
     return gaps.groupBy("event_type").agg(F.min("g").alias("least"), F.round(F.percentile("g", F.lit(0.05)), 6).alias("p5"), F.round(F.percentile("g", F.lit(0.5)), 6).alias("median"), F.max("g").alias("most"))
 
 
@@ -154,8 +155,7 @@ def json_props_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("attribute_paths", "SELECT 'events.' || event_type || '.' || (row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) - 1) || '.user' AS path, user_id AS value FROM events")
 def attribute_paths(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = table(spark, sf, "events").withColumn("i", F.row_number().over(w) - 1)
+    rows = order.numbered(table(spark, sf, "events").select("event_type", "ts", "event_id", "user_id"), "event_type", ["ts", "event_id"], "i")
     return rows.select(F.concat_ws(".", F.lit("events"), "event_type", F.col("i").cast("string"), F.lit("user")).alias("path"), F.col("user_id").alias("value"))
 
 
