@@ -55,8 +55,8 @@ PIVOTS = (1, 4, None)
 PART = 1024
 #: Parity bits of a set.
 BITS = 1024
-#: Bit tables of 32768 bits that preselect the texts of candidates.
-BITMAPS = 512
+#: Bit tables of 32768 bits that preselect texts, at least and at most.
+BITMAPS, MAX_BITMAPS = 512, 16384
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -181,19 +181,19 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(run, f"a {kind}, b {kind}, ca {kind}, cb {kind}")
 
 
-def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose _id_ is among ids, and a few others.
+def _maybe(docs: DataFrame, key: str, ids: DataFrame, n: int) -> DataFrame:
+    """docs with _maybe_: can the key be among the n ids (column v)? False is certain.
 
-    The ids become a bit table of a fixed size (at most BITMAPS rows of 4 KB),
-    so that other texts never leave their scan.
+    The ids become a bit table of 16 bits an id, of BITMAPS to MAX_BITMAPS rows of 4 KB, so that other texts
+    never leave their scan.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * 32768))
+    bits = min(MAX_BITMAPS, max(BITMAPS, 1 << (n * 16 >> 15).bit_length())) * 32768
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     slot = ids.select(place(F.col("v")).alias("h"))
     table = slot.select(F.floor(F.col("h") / 32768).alias("_slot_"), F.bitmap_bit_position(F.col("h") % 32768 + 1).alias("p")).groupBy("_slot_").agg(F.bitmap_construct_agg("p").alias("_bits_"))
-    h = place(F.col("_id_"))
-    found = docs.withColumn("_h_", h).join(F.broadcast(table), F.floor(F.col("_h_") / 32768) == F.col("_slot_"))
+    found = docs.withColumn("_h_", F.when(F.col(key).isNotNull(), place(F.col(key)))).join(F.broadcast(table), F.floor(F.col("_h_") / 32768) == F.col("_slot_"), "left")
     byte = F.conv(F.hex(F.substring(F.col("_bits_"), F.expr("cast(_h_ % 32768 div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
-    return found.filter(F.expr("1") == F.getbit(byte, (F.col("_h_") % 8).cast("int"))).drop("_h_", "_slot_", "_bits_")
+    return found.withColumn("_maybe_", F.coalesce(F.getbit(byte, (F.col("_h_") % 8).cast("int")) == 1, F.lit(False))).drop("_h_", "_slot_", "_bits_")
 
 
 def _linked(docs: DataFrame, size: int, percent: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
@@ -211,7 +211,8 @@ def _linked(docs: DataFrame, size: int, percent: int, bands: int, rows: int, doc
     met = cut(dealt.join(many, "bucket").withColumn("c", F.col("v")))
     drop(many)
     body = F.col(text).cast("string")
-    texts = _among(docs.select(_row(F.col(doc_id), body).alias("_id_"), body.alias("_t_")).filter("_id_ is not null"), met.select("v").distinct())
+    wanted = met.select("v").distinct()
+    texts = _maybe(docs.select(_row(F.col(doc_id), body).alias("_id_"), body.alias("_t_")), "_id_", wanted, wanted.count()).filter("_maybe_").drop("_maybe_")
     twice = cut(full.groupBy("row").agg(F.count("*").alias("k")).filter("k > 1").select("row"))
     if not twice.isEmpty():  # equal rows give one text
         on = F.col("_id_") == F.col("row")
@@ -283,5 +284,9 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_i
     marked = _linked(docs, size, percent, BANDS, ROWS, doc_id, text).filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     gone = marked.filter(~F.col("first")).select(F.col("row").alias("_row_")).distinct()
     again = marked.filter("first").groupBy(F.col("row").alias("_row_")).agg(F.count("*").alias("_n_")).filter("_n_ > 1").select("_row_")
-    rest = docs.withColumn("_row_", _row(F.col(doc_id), F.col(text).cast("string"))).join(gone, "_row_", "left_anti")
-    return rest.join(again, "_row_", "left_anti").unionByName(rest.join(again, "_row_", "left_semi").dropDuplicates(["_row_"])).select(*docs.columns)
+    odd = cut(gone.withColumn("_gone_", F.lit(True)).unionByName(again.withColumn("_gone_", F.lit(False))))
+    # Only rows that may be among these are shuffled.
+    rows = _maybe(docs.withColumn("_row_", _row(F.col(doc_id), F.col(text).cast("string"))), "_row_", odd.select(F.col("_row_").alias("v")), odd.count())
+    near = rows.filter("_maybe_").join(odd, "_row_", "left")
+    once = near.filter("not _gone_").dropDuplicates(["_row_"])
+    return rows.filter("not _maybe_").unionByName(near.filter("_gone_ is null").unionByName(once).drop("_gone_")).select(*docs.columns)
