@@ -242,7 +242,7 @@ def test_idempotent_results(spark, tmp_path):
 
 def test_line_and_key_functions(spark):
     assert one(spark, fx.unit_line(F.col("a")), a="[million tons]") and not one(spark, fx.unit_line(F.col("a")), a="[a] b")
-    assert one(spark, fx.item_key(F.col("a")), a="#/tables/2") == "tbl-2" and one(spark, fx.item_key(F.col("a")), a="#/texts/7") == "tex-7"
+    assert one(spark, fx.item_key(F.col("a")), a="#/tables/2") == "tbl-2" and one(spark, fx.item_key(F.col("a")), a="#/texts/7") == "txt-7"
     assert one(spark, fx.without_backspace(F.col("a")), a="a\bb") == "ab" and one(spark, fx.broken_number(F.col("a")), a="3�5") is True
     assert one(spark, fx.rejoined(F.col("a")), a="3 .349") == "3.349"
     assert [one(spark, fx.footer_line(F.col("a")), a=x) for x in ("Source: x", "Notes. y", "1/ Estimated", "Coal 5")] == [True, True, True, False]
