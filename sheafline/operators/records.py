@@ -71,3 +71,43 @@ def granule_gate(text: Column) -> Column:
     n = F.size(lines)
     head, tail = F.slice(lines, 1, 5), F.slice(lines, F.greatest(F.lit(1), n - 4), 5)
     return F.when(n == 0, "field-absent").when((numeric >= 3) & ~F.lower(text).rlike("percent|million|billion|dollars"), "fail:units").when((rows(tail) >= 5) & (rows(head) >= 5), "flag:boundary").otherwise("pass")
+
+
+def review_queue(last: DataFrame, lot: str, decided: Column, quota: int) -> DataFrame:
+    """Undecided items of the lots whose decided items have not reached the quota."""
+    rows = last.withColumn("_d_", F.coalesce(decided, F.lit(False)))
+    full = rows.groupBy(lot).agg(F.count_if("_d_").alias("_k_")).filter(F.col("_k_") >= quota).select(lot)
+    return rows.join(full, lot, "left_anti").filter("not _d_").drop("_d_")
+
+
+def changed_pairs(old: DataFrame, new: DataFrame, lines: DataFrame, page: str, label: str, value: str, line: str) -> DataFrame:
+    """Pairs of the new version that the old one lacks, and on_page: does a line of the page begin with the label and hold the number, not as part of a longer one?
+
+    Lines meet pairs by page and label (a line's words before its first number), so a page's pairs never meet all its lines.
+    """
+    from ..functions.text import occurs
+
+    changed = new.select(page, label, value).distinct().join(old.select(page, label, value).distinct(), [page, label, value], "left_anti")
+    keyed = lines.select(page, F.trim(F.regexp_extract(line, r"^(.*?) [-(]?[0-9]", 1)).alias(label), line)
+    hit = changed.join(keyed, [page, label], "left").withColumn("_h_", F.coalesce(occurs(F.substr(F.col(line), F.length(label) + 1), F.col(value).cast("string")), F.lit(False)))
+    return hit.groupBy(page, label, value).agg(F.bool_or("_h_").alias("on_page"))
+
+
+def upserted(points: DataFrame, new: DataFrame, key: str, version: str, fields: Sequence[str]) -> DataFrame:
+    """The points after an upsert: the fields of each key's latest version; a partial aggregate."""
+    return points.unionByName(new).groupBy(key).agg(*[F.max_by(f, version).alias(f) for f in fields])
+
+
+def merged_flags(tokens: Column, gap: int) -> Column:
+    """array<string> of a line's tokens (text, x0, x1, in order), where a revision mark takes in the number at most `gap` behind it."""
+    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("flag"), F.lit(0).cast("long").alias("x1"))
+
+    def step(acc: Column, t: Column) -> Column:
+        number = t["text"].rlike("^[-(]?[0-9]")
+        joins = acc["flag"].isNotNull() & number & (t["x0"] - acc["x1"] <= gap)
+        is_flag = t["text"].isin("R", "E", "RE")
+        before = F.when(acc["flag"].isNotNull() & ~joins, F.concat(acc["out"], F.array(acc["flag"]))).otherwise(acc["out"])
+        after = F.when(joins, F.concat(before, F.array(F.concat(acc["flag"], F.lit(" "), t["text"])))).when(is_flag, before).otherwise(F.concat(before, F.array(t["text"])))
+        return F.struct(after.alias("out"), F.when(is_flag, t["text"]).alias("flag"), t["x1"].cast("long").alias("x1"))
+
+    return F.aggregate(tokens, none, step, lambda acc: F.when(acc["flag"].isNotNull(), F.concat(acc["out"], F.array(acc["flag"]))).otherwise(acc["out"]))
