@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 from difflib import SequenceMatcher
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -121,33 +123,74 @@ def tables_from_glyphs(glyphs: DataFrame) -> DataFrame:
     return glyphs.groupBy("unit", "table_no").applyInPandas(run, CELLS)
 
 
-def match_labels(wanted: list[str], offered: list[str]) -> list[tuple[int, str] | None]:
-    """For each wanted label the offered one it takes: exact first, then affix, then fuzzy; each is taken once."""
-    norm = lambda s: re.sub(r"[^a-z0-9]+", " ", s.lower()).strip()
-    w, o = [norm(x) for x in wanted], [norm(x) for x in offered]
+#: Abbreviations in labels, and the shares of a row's values that a match by label or by likeness must have (fixed values).
+ABBREVIATIONS = {"e": "east", "w": "west", "n": "north", "s": "south", "ak": "alaska", "hi": "hawaii"}
+LABEL_CONFIRM, FUZZY_CONFIRM = 0.5, 0.8
+
+
+def _plain(label: str) -> str:
+    return re.sub(r"[^a-z0-9]+", " ", label.lower()).strip()
+
+
+def spelt_out(label: str) -> str:
+    """A plain label with abbreviations spelt out and the plural s of longer words gone."""
+    words = re.sub(r"\bu s\b", "united states", _plain(label)).split()
+    return " ".join(w[:-1] if len(w) > 4 and w.endswith("s") else w for w in (ABBREVIATIONS.get(w, w) for w in words))
+
+
+def agreeing(printed: dict[str, str], served: dict[str, str]) -> int:
+    """Printed values that the served ones give when rounded half up to the decimals printed."""
+    n = 0
+    for k, v in printed.items():
+        try:
+            want, have = Decimal(v), Decimal(served[k])
+        except (KeyError, TypeError, InvalidOperation):
+            continue
+        n += have.quantize(Decimal(1).scaleb(min(0, int(want.as_tuple().exponent))), ROUND_HALF_UP) == want
+    return n
+
+
+def match_labels(wanted: list[str], offered: list[str], printed: list[dict[str, str]] | None = None, served: list[dict[str, str]] | None = None) -> list[tuple[int, str] | None]:
+    """For each wanted label the offered one it takes, each once: exact first, then affix, then fuzzy (spelt out).
+
+    With values, a match must also reproduce a share of the row's printed ones, and of several the one that
+    reproduces most is taken.
+    """
+    w, o = [_plain(x) for x in wanted], [_plain(x) for x in offered]
     out: list[tuple[int, str] | None] = [None] * len(w)
     free = set(range(len(o)))
 
     def affix(a: str, b: str) -> bool:
         return bool(a) and bool(b) and (a.startswith(b) or b.startswith(a) or a.endswith(b) or b.endswith(a))
 
-    for how, test in (("exact", lambda a, b: float(a == b)), ("affix", lambda a, b: float(affix(a, b))), ("fuzzy", lambda a, b: r if (r := SequenceMatcher(None, a, b).ratio()) >= FUZZY_MIN else 0.0)):
-        for i, a in enumerate(w):
-            if out[i] is None and free:
-                s, j = max((test(a, o[k]), -k) for k in free)
-                if s > 0:
-                    out[i] = (-j, how)
-                    free.discard(-j)
+    def fuzzy(i: int, j: int) -> float:
+        r = SequenceMatcher(None, spelt_out(wanted[i]), spelt_out(offered[j])).ratio()
+        return r if r >= FUZZY_MIN else 0.0
+
+    passes = (("exact", lambda i, j: float(w[i] == o[j]), LABEL_CONFIRM), ("affix", lambda i, j: float(affix(w[i], o[j])), LABEL_CONFIRM), ("fuzzy", fuzzy, FUZZY_CONFIRM))
+    for how, test, share in passes:
+        for i in range(len(w)):
+            if out[i] is not None:
+                continue
+            found = [(s, j) for j in sorted(free) if (s := test(i, j)) > 0]
+            if printed is not None and served is not None:
+                need = max(1, ceil(share * len(printed[i])))
+                found = [(float(n), j) for _, j in found if (n := agreeing(printed[i], served[j])) >= need]
+            if found:
+                j = max(found, key=lambda f: (f[0], -f[1]))[1]
+                out[i] = (j, how)
+                free.discard(j)
     return out
 
 
-def label_matches(wanted: DataFrame, offered: DataFrame, key: str, label: str) -> DataFrame:
-    """(key, label, matched, how) by match_labels within each key, both sides in label order."""
+def label_matches(wanted: DataFrame, offered: DataFrame, key: str, label: str, values: str | None = None) -> DataFrame:
+    """(key, label, matched, how) by match_labels within each key, both sides in label order; values: a column map<string,string> to confirm by. A key is one printed table."""
     kind = wanted.schema[key].dataType.simpleString()
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = sorted(a[label]), sorted(b[label])
-        got = match_labels(x, y)
+        a, b = a.sort_values(label), b.sort_values(label)
+        x, y = list(a[label]), list(b[label])
+        got = match_labels(x, y, *(([dict(v) for v in a[values]], [dict(v) for v in b[values]]) if values else ()))
         k = (a if len(a) else b)[key].iloc[0]
         return pd.DataFrame([(k, w, y[m[0]] if m else None, m[1] if m else None) for w, m in zip(x, got, strict=True)], columns=[key, label, "matched", "how"])
 

@@ -35,6 +35,17 @@ def fuzzy_label_match(spark: SparkSession, sf: str) -> DataFrame:
     return layout.label_matches(parts, parts.withColumn("label", F.concat("label", F.substring("label", -1, 1))).distinct(), "k", "label")
 
 
+@query("confirmed_label_match")
+def confirmed_label_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names against abbreviated ones with rounded prices; every seventh has other prices, so its label alone is no match."""
+    part = table(spark, sf, "part")
+    price = lambda c: F.create_map(F.lit("2024"), c.cast("decimal(18,2)").cast("string"))
+    served = part.select(F.floor(F.col("p_partkey") / 50).alias("k"), F.concat_ws(" ", F.lit("East"), "p_name", "p_brand", "p_type").alias("label"), price(F.col("p_retailprice")).alias("v"))
+    shown = F.create_map(F.lit("2024"), (F.col("p_retailprice") + F.when(F.col("p_partkey") % 7 == 0, 5).otherwise(0)).cast("decimal(18,1)").cast("string"))
+    printed = part.select(F.floor(F.col("p_partkey") / 50).alias("k"), F.concat_ws(" ", F.lit("E."), "p_name", "p_brand", "p_type").alias("label"), shown.alias("v"))
+    return layout.label_matches(printed, served, "k", "label", "v")
+
+
 @query("nfkc_units")
 def nfkc_units(spark: SparkSession, sf: str) -> DataFrame:
     """Words are counted first, so each distinct one is normalised once."""

@@ -92,3 +92,12 @@ def test_trigger_counts_bands(spark):
     grid = spark.createDataFrame(g, "unit string, row_no int, col_no int, text string, header boolean")
     got = {r.unit: tuple(r)[1:] for r in pages.trigger_counts(tokens, grid, ["unit"]).select("unit", "numeric_lines", "bands", "grid_rows", "grid_cols", "fired").collect()}
     assert got == {"t": (2, 2, 1, 1, True), "u": (0, 0, 1, 1, True)}
+
+
+def test_labels_are_spelt_out_and_confirmed():
+    assert layout.spelt_out("U.S. Imports, E. N. Central") == "united state import east north central"
+    assert layout.agreeing({"a": "1.3", "b": "-2", "c": "x", "d": "5"}, {"a": "1.25", "b": "-2.4", "c": "1"}) == 2
+    got = layout.match_labels(["Total", "Total", "E. Coast Stocks"], ["Total", "Total demand", "East Coast stock"], [{"y": "2"}, {"y": "3"}, {"y": "7"}], [{"y": "3"}, {"y": "2"}, {"y": "7"}])
+    # The first 'Total' has other values than the label that is equal, so it takes the affix; the likeness needs values too.
+    assert got == [(1, "affix"), (0, "exact"), (2, "fuzzy")]
+    assert layout.match_labels(["Total"], ["Total"], [{"y": "1"}], [{"y": "2"}]) == [None]
