@@ -52,7 +52,15 @@ def wilson_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("w", w).select("source", "n", "k", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
 
 
-@query("clopper_pearson")
+#: Clopper-Pearson by 60 steps of bisection; {k}: hits, {key}: the group.
+EXACT_SQL = """WITH RECURSIVE c AS ({counts}), b AS (SELECT *, 0.0::DOUBLE AS l0, 1.0::DOUBLE AS l1, 0.0::DOUBLE AS h0, 1.0::DOUBLE AS h1, 0 AS step FROM c
+UNION ALL SELECT key, n, k, CASE WHEN t < 0.025 THEN l ELSE l0 END, CASE WHEN t < 0.025 THEN l1 ELSE l END, CASE WHEN u < 0.975 THEN h ELSE h0 END, CASE WHEN u < 0.975 THEN h1 ELSE h END, step + 1
+FROM (SELECT *, (l0 + l1) / 2 AS l, (h0 + h1) / 2 AS h, coalesce(list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((l0 + l1) / 2) + (n - i) * ln(1 - (l0 + l1) / 2)) FOR i IN range(k, n + 1)]), 0) AS t,
+coalesce(list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((h0 + h1) / 2) + (n - i) * ln(1 - (h0 + h1) / 2)) FOR i IN range(k + 1, n + 1)]), 0) AS u FROM b WHERE step < 60))
+SELECT key AS {key}, n, k, round(CASE WHEN k = 0 THEN 0 ELSE (l0 + l1) / 2 END, 6) AS low, round(CASE WHEN k = n THEN 1 ELSE (h0 + h1) / 2 END, 6) AS high FROM b WHERE step = 60"""
+
+
+@query("clopper_pearson", EXACT_SQL.format(key="source", counts=f"SELECT source AS key, count(*) AS n, sum(toxic)::BIGINT AS k FROM {BASE} GROUP BY source"))
 def clopper_pearson(spark: SparkSession, sf: str) -> DataFrame:
     c = _rated(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
     return c.withColumn("w", stats.clopper_pearson("k", "n")).select("source", "n", "k", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))

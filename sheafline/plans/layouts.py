@@ -53,7 +53,11 @@ def nfkc_units(spark: SparkSession, sf: str) -> DataFrame:
     return words.withColumn("unit", layout.normal_unit("word")).groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-@query("point_ids")
+@query(
+    "point_ids",
+    """SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc::' || doc_id)) AS h FROM documents)""",
+)
 def point_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", layout.point_id(F.concat(F.lit("doc::"), F.col("doc_id").cast("string"))).alias("point_id"))
 

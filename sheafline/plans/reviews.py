@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import records, stats
-from .agreement import BASE, BOOT_SQL, DRAW, _rated
+from .agreement import BASE, BOOT_SQL, DRAW, EXACT_SQL, _rated
 from .registry import query, table
 
 
@@ -89,7 +89,7 @@ def wide_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(F.size(F.filter(both, lambda x: x > 60))).cast("long").alias("n_wide"), F.max(F.array_max(both)).alias("widest"))
 
 
-@query("controls_by_kind")
+@query("controls_by_kind", EXACT_SQL.format(key="role", counts="SELECT role AS key, count(*) AS n, count(*) FILTER (length(text) < 60) AS k FROM conversations GROUP BY role"))
 def controls_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     """Abstained controls (short answers) by kind, with exact intervals."""
     c = table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.length("text") < 60).alias("k"))
