@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def draw_key(seed: str, salt: str, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), *[F.col(c).cast("string") for c in cols]))
@@ -43,8 +45,8 @@ def primary_and_reserve(df: DataFrame, unit: str, source: str, key: str, n: int,
 
 
 def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows at ranks round(i (m - 1) / (n - 1)); df must be a bounded table (one unit's pages, a dimension)."""
-    w = Window.orderBy(order)
-    rows = df.withColumn("_i_", F.row_number().over(w) - 1).withColumn("_m_", F.count("*").over(Window.partitionBy()))
-    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(i * (F.col("_m_") - 1) / (n - 1)).cast("int"))
-    return rows.filter((F.col("_m_") <= n) | F.array_contains(at, F.col("_i_"))).drop("_i_", "_m_")
+    """n rows at ranks round(i (m - 1) / (n - 1)), all if there are fewer; rows are numbered over ranges, so the table may be large."""
+    rows = numbered(df.withColumn("_all_", F.lit(0)), "_all_", [order], "_i_")
+    size = df.agg(F.count("*").alias("_m_"))  # one row
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(i * (F.col("_m_") - 1) / (n - 1)).cast("long"))
+    return rows.join(F.broadcast(size)).filter((F.col("_m_") <= n) | F.array_contains(at, F.col("_i_"))).select(*df.columns)

@@ -47,7 +47,7 @@ LOG_SQL = "(SELECT 'u' || user_id AS job, event_id AS off, CASE event_type WHEN
 
 @query("stream_last_state", f"SELECT job, arg_max(state, off) AS state, arg_max(attempt, off) AS attempt, count(*) AS n_records FROM {LOG_SQL} GROUP BY job")
 def stream_last_state(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(spark, jobs.last_state(_stream(spark, sf)), "complete")
+    return _run(spark, jobs.last_state(_stream(spark, sf)), "update")
 
 
 @query("job_last_state", f"SELECT job, arg_max(state, off) AS state, arg_max(attempt, off) AS attempt, count(*) AS n_records FROM {LOG_SQL} GROUP BY job")
