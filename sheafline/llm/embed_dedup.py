@@ -30,7 +30,8 @@ an empty table; other columns of the input are not read.
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ MARGIN = 0.5
 SLACK = 1e-6
 #: Bytes, at four a component, of the sample of a label, of a part of its vectors, and of a block of a cell.
 FIT_BYTES, PART_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20, 1 << 20
+#: Entries of a matrix of products at once, about.
+PRODUCTS = 1 << 20
 #: Sampled vectors per centroid, and what it costs to ship a vector, in products.
 PER_CENTROID, SHIP = 16, 2000
 _KEYS = ["label", "d"]
@@ -70,12 +73,18 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return scaled / np.where(ok, length, 1)[:, None], ok
 
 
+def _slices(n: int, k: int) -> Iterator[slice]:
+    """Row ranges for which a matrix with k columns has about PRODUCTS entries."""
+    step = max(16, PRODUCTS // max(1, k))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 1) -> np.ndarray:
     """k unit centroids of unit rows; empty cells keep their centroid."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        own = np.concatenate([(x[a : a + 4096] @ c.T).argmax(1) for a in range(0, len(x), 4096)])
+        own = np.concatenate([(x[part] @ c.T).argmax(1) for part in _slices(len(x), k)])
         order = np.argsort(own, kind="stable")
         cells, first = np.unique(own[order], return_index=True)
         m = np.add.reduceat(x[order], first)
@@ -101,7 +110,7 @@ def fitted(x: np.ndarray, n: int, block: int, tau: float) -> tuple[np.ndarray, n
     k, worse = 2, 0
     while len(x) and worse < 2 and (best is None or k <= len(x) // PER_CENTROID):
         c = spherical_kmeans(x, k)
-        size = sum(cells_of(c, x[a : a + 4096], tau)[1].sum(0) for a in range(0, len(x), 4096)) * (n / len(x))
+        size = sum(cells_of(c, x[part], tau)[1].sum(0) for part in _slices(len(x), k)) * (n / len(x))
         work = float((size * size / 2 + SHIP * size * np.ceil(size / block)).sum())
         if best is None or work < best[0]:
             best, worse = (work, c, size), 0
@@ -147,13 +156,11 @@ def assigned(vectors: DataFrame, models: DataFrame, tau: float, part_bytes: int
         c = np.frombuffer(right["centroids"][0].as_py() if len(right) else b"", np.float64).reshape(-1, d)
         left, x = left.filter(pa.array(ok)), x[ok]
         homes, owners, cells = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
-        for a in range(0, len(x), 2048):
-            if len(c):
-                home, part = cells_of(c, x[a : a + 2048], tau)
-            else:
-                home, part = np.zeros(len(x[a : a + 2048]), int), np.ones((len(x[a : a + 2048]), 1), bool)
+        for rows in _slices(len(x), len(c)):
+            n = len(x[rows])
+            home, part = cells_of(c, x[rows], tau) if len(c) else (np.zeros(n, int), np.ones((n, 1), bool))
             i, j = np.nonzero(part)
-            homes, owners, cells = [*homes, home], [*owners, i + a], [*cells, j]
+            homes, owners, cells = [*homes, home], [*owners, i + rows.start], [*cells, j]
         flat = np.concatenate(cells)
         first = pa.array(np.searchsorted(np.concatenate(owners), np.arange(len(x) + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(first, pa.array(v.astype(np.int32))) for v in (flat, blocks[flat])]
