@@ -887,3 +887,26 @@ def test_cards_beside_other_numbers(spark):
     assert by[f"{a} 12/29"].text == f"{new[a]} 12/29" and by[f"{spaced} 123"].text == f"{new[spaced]} 123" and by[f"1234 {spaced}"].text == f"1234 {new[spaced]}"
     assert (by[f"{a} 10.0.0.1"].n_ipv4, by[f"{a} 555-123-4567"].n_phone, by[f"x-{a}@mail.org {b} 1"].n_email) == (1, 1, 1)
     assert all(by[t].text == t for t in texts[-2:])
+
+
+# lineage
+
+
+def test_spent_tables_are_deleted_and_folders_shared(spark):
+    from types import SimpleNamespace
+
+    from sheafline.llm import lineage
+
+    t = lineage.cut(spark.range(1000))
+    assert t.count() == 1000
+    file = t._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert fs.exists(at)
+    lineage.drop(t, None)
+    assert not fs.exists(at)
+    lineage.drop(t)  # twice changes nothing
+    conf = SimpleNamespace(get=lambda _: None)
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://somewhere:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.new_folder(far)
