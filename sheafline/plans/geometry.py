@@ -122,10 +122,10 @@ def interval_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "nearest_band",
-    "WITH b AS (SELECT p_size AS band, avg(p_retailprice) AS c FROM part WHERE p_size <= 12 GROUP BY p_size) SELECT o_orderkey, (SELECT arg_min(band, (abs(o_totalprice / 200 - c), band)) FROM b)::BIGINT AS band FROM orders",
+    "WITH b AS (SELECT p_size AS band, avg(p_retailprice) AS c FROM part GROUP BY p_size) SELECT o_orderkey, (SELECT arg_min(band, (abs(o_totalprice / 200 - c), band)) FROM b)::BIGINT AS band FROM orders",
 )
 def nearest_band(spark: SparkSession, sf: str) -> DataFrame:
-    bands = table(spark, sf, "part").filter("p_size <= 12").groupBy(F.col("p_size").cast("long").alias("band")).agg(F.avg("p_retailprice").alias("c"))
+    bands = table(spark, sf, "part").groupBy(F.col("p_size").cast("long").alias("band")).agg(F.avg("p_retailprice").alias("c"))
     orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 200).alias("x"))
     return joins.nearest(orders, bands, "x", "band", "c").select("o_orderkey", "band")
 

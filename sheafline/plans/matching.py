@@ -155,14 +155,14 @@ def multiset_admission(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "word_conservation",
-    f"""WITH a AS (SELECT doc_id, v, count(*) AS a FROM (SELECT doc_id, unnest({WORDS.format("text")}) AS v FROM documents) GROUP BY ALL), b AS (SELECT doc_id, v, count(*) AS b FROM (SELECT doc_id, unnest({WORDS.format("substr(text, 1, 500)")}) AS v FROM documents) GROUP BY ALL)
+    f"""WITH a AS (SELECT doc_id, v, count(*) AS a FROM (SELECT doc_id, unnest({WORDS.format("text")}) AS v FROM documents) GROUP BY ALL), b AS (SELECT doc_id, v, count(*) AS b FROM (SELECT doc_id, unnest({WORDS.format("regexp_replace(text, '[^" + chr(92) + "n]*[|][^" + chr(92) + "n]*', '', 'g')")}) AS v FROM documents) GROUP BY ALL)
 SELECT doc_id, sum(a)::BIGINT AS n, sum(least(a, coalesce(b, 0)))::BIGINT AS conserved, sum(a - least(a, coalesce(b, 0)))::BIGINT AS excess FROM a LEFT JOIN b USING (doc_id, v) GROUP BY doc_id""",
 )
 def word_conservation(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of whole documents against the version that a 500-character reader would have."""
+    """Words of whole documents against a version without the lines of tables."""
     docs = table(spark, sf, "documents")
     words = lambda c: docs.select("doc_id", F.explode(ch.tokens(c)).alias("v"))
-    return joins.multiset_overlap(words(F.col("text")), words(F.substring("text", 1, 500)), ["doc_id"], "v")
+    return joins.multiset_overlap(words(F.col("text")), words(F.regexp_replace("text", r"[^\n]*[|][^\n]*", "")), ["doc_id"], "v")
 
 
 @query(
