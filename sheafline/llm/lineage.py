@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that the planner may expect of a cut table.
+LARGEST = (1 << 63) - 1
+
 
 def _folder(spark: SparkSession) -> str:
     """The shared folder of the session (spark.checkpoint.dir); a folder of our own only where none is set and one machine does all."""
@@ -22,9 +25,24 @@ def _folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder."""
-    _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written once to the shared folder.
+
+    checkpoint() hands on the planner's guess of the size, and a join's guess is the product of its sides'.  Where
+    steps join their own results, its digits double with each step, until the number alone fills the driver's
+    memory.  A guess beyond LARGEST is therefore forgotten; the planner takes its default then, which is as large.
+    """
+    spark = df.sparkSession
+    _folder(spark)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution().analyzed()
+    try:
+        if plan.stats().sizeInBytes() <= LARGEST:
+            return out
+    except ValueError:  # more digits than Python reads
+        pass
+    sql, none = spark.sparkContext._jvm.org.apache.spark.sql, spark.sparkContext._jvm.scala.Option.empty()
+    bare = sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, spark._jsparkSession, none, none)
+    return DataFrame(sql.classic.Dataset.ofRows(spark._jsparkSession, bare), spark)
 
 
 def drop(*tables: DataFrame | None) -> None:

@@ -910,3 +910,18 @@ def test_spent_tables_are_deleted_and_folders_shared(spark):
     far = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://somewhere:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         lineage.new_folder(far)
+
+
+def test_guessed_sizes_stay_bounded(spark):
+    from sheafline.llm import lineage
+
+    ids = list(range(50))
+    random.Random(1).shuffle(ids)
+    chain = components.components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long"))
+    assert chain._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= lineage.LARGEST
+    t = lineage.cut(chain.join(chain.withColumnRenamed("component", "c"), "id").join(chain, "id"))
+    assert t.columns == ["id", "component", "c", "component"] and t.count() == 49
+    assert t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= lineage.LARGEST
+    lineage.drop(t)  # the table without its guess is still known by its file
+    with pytest.raises(Exception, match="(?i)checkpoint|does not exist|not found"):
+        t.count()
