@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import tokens
+
 
 def multiset_match(wanted: DataFrame, printed: DataFrame, group: Sequence[str], value: str, order_wanted: str) -> DataFrame:
     """Rows of wanted with `admitted`: each printed copy of a value admits one wanted row of its group.
@@ -30,6 +32,19 @@ def multiset_overlap(a: DataFrame, b: DataFrame, group: Sequence[str], value: st
     return both.groupBy(*group).agg(F.sum("_a_").alias("n"), F.sum("_c_").alias("conserved"), F.sum(F.col("_a_") - F.col("_c_")).alias("excess"))
 
 
+def line_overlap(df: DataFrame, key: str, text: str, dropped: str) -> DataFrame:
+    """Per key: words of the texts, those conserved in a version without the lines that have the string `dropped`, and the excess.
+
+    The version's words are a part of the text's, as no word goes beyond its line; so the intersection of the two
+    multisets is the version itself and nothing is exploded or shuffled by word.  A key without words has no row.
+    A null key equals no key, so its words meet none.
+    """
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~F.contains(line, F.lit(dropped))), "\n")
+    n, c = F.size(tokens(F.col(text))).cast("long"), F.size(tokens(kept)).cast("long")
+    counts = df.select(key, n.alias("_n_"), F.when(F.col(key).isNull(), 0).otherwise(c).alias("_c_")).filter("_n_ > 0")
+    return counts.groupBy(key).agg(F.sum("_n_").alias("n"), F.sum("_c_").alias("conserved"), F.sum(F.col("_n_") - F.col("_c_")).alias("excess"))
+
+
 def divide(required: DataFrame, offered: DataFrame, req_key: str, off_key: str, item: str) -> DataFrame:
     """Pairs where every item of the required group is among the offered group's, with n_candidates per required group."""
     need = required.select(req_key, item).distinct()

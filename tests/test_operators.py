@@ -247,3 +247,26 @@ def test_line_and_key_functions(spark):
     assert one(spark, fx.rejoined(F.col("a")), a="3 .349") == "3.349"
     assert [one(spark, fx.footer_line(F.col("a")), a=x) for x in ("Source: x", "Notes. y", "1/ Estimated", "Coal 5")] == [True, True, True, False]
     assert tuple(one(spark, fx.period(F.col("a")), a="M:2024-07")) == ("M", 2024, 7) and tuple(one(spark, fx.period(F.col("a")), a="M:2024-13")) == (None, None, None)
+
+
+def test_words_of_lines(spark):
+    rows = [(1, "a b a\n| a | b |\nb\x0b c|\n\n a"), (1, "a\r| b\n|"), (2, "| x |"), (3, " \t\n| |"), (4, ""), (5, None), (6, " \n "), (None, "a b\n|c"), (7, "a\x85|b c\nd"), (8, "|\n|\nz z")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = sorted(map(tuple, joins.line_overlap(df, "k", "t", "|").collect()), key=repr)
+    words = lambda c: df.filter("k is not null").select("k", F.explode(chunks.tokens(c)).alias("v"))
+    plain = joins.multiset_overlap(words(F.col("t")), words(F.regexp_replace("t", r"[^\n]*[|][^\n]*", "")), ["k"], "v")
+    assert got == sorted([*map(tuple, plain.collect()), (None, 3, 0, 3)], key=repr)
+    assert got[0] == (1, 15, 4, 11)
+
+
+def test_conservation_of_long_lines(spark, tmp_path):
+    import time
+
+    from sheafline.plans import catalog
+
+    line = "word " * 60_000
+    spark.createDataFrame([(1, line), (2, f"{line}\n{line}|\nend"), (None, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = {tuple(r) for r in catalog.QUERIES["word_conservation"](spark, str(tmp_path)).select("doc_id", "n", "conserved", "excess").collect()}
+    assert got == {(1, 60_000, 60_000, 0), (2, 120_002, 60_001, 60_001), (None, 1, 0, 1)}
+    assert time.time() - began < 15  # the square of a line's length took minutes
